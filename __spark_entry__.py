@@ -13,10 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semestra.functions.text import parse_schedule
 from semestra.operators.joins import latest_key_semi
 from semestra.plans import attendance as att
-from semestra.plans import catalog, demand, features, insights
+from semestra.plans import catalog, demand, features, insights, timetable
 from semestra.sources import driver as drv
 from semestra.sources.files import parse_events
 from semestra.sources.store import upsert_latest
@@ -119,6 +118,34 @@ def q_latest_event_per_user(spark: SparkSession, d: str) -> DataFrame:
     return upsert_latest(log, ["user_id"], ["ts", "event_id"]).drop("op", "ts")
 
 
+def _scored_candidates(spark: SparkSession, d: str) -> DataFrame:
+    snapshot = latest_key_semi(_students(spark, d), "semestre_historico")
+    courses = demand.current_demand(snapshot, _courses(spark, d)) \
+        .withColumn("room_pool", F.pmod(drv.brand_number(F.col("materia_nombre")), F.lit(5)))
+    q = drv.qualified_teachers(spark, d)
+    pairs = (courses.select("materia_nombre", "carrera_materia").join(q, "materia_nombre")
+             .join(drv.teachers(spark, d), "profesor_id"))
+    cands = timetable.candidate_sections(courses, pairs.drop("score_predicho"),
+                                         drv.rooms(spark, d))
+    return cands.join(q, ["profesor_id", "materia_nombre"])
+
+
+def q_teacher_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return timetable.restriction_blocks(drv.restrictions(spark, d))
+
+
+def q_timetable(spark: SparkSession, d: str) -> DataFrame:
+    stats = att.attendance_stats(_attendance_joined(spark, d)) \
+        .withColumn("profesor_id", F.col("profesor_id").cast("long"))
+    out, _ = timetable.greedy_timetable(_scored_candidates(spark, d), q_teacher_blocks(spark, d),
+                                        stats, max_sections=timetable.MAX_SECTIONS)
+    return out
+
+
+def q_schedule_kpis(spark: SparkSession, d: str) -> DataFrame:
+    return timetable.schedule_kpis(q_timetable(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "bottleneck_courses": q_bottleneck_courses,
@@ -135,6 +162,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "attendance_by_teacher": q_attendance_by_teacher,
         "attendance_by_hour": q_attendance_by_hour,
         "latest_event_per_user": q_latest_event_per_user,
+        "teacher_blocks": q_teacher_blocks,
+        "timetable": q_timetable,
+        "schedule_kpis": q_schedule_kpis,
     }
 
 
@@ -319,6 +349,14 @@ SELECT hora_inicio_promedio,
                        AS DECIMAL(38, 10)), 2) AS DOUBLE) AS tasa_asistencia_promedio,
        count(*) AS volumen_datos
 FROM j GROUP BY hora_inicio_promedio""",
+        "teacher_blocks": """
+WITH b AS (
+  SELECT user_id, hour(ts) AS hora,
+         ['DOMINGO','LUNES','MARTES','MIERCOLES','JUEVES','VIERNES','SABADO'][dayofweek(ts) + 1] AS dia
+  FROM events WHERE event_type = 'error'
+)
+SELECT DISTINCT user_id AS profesor_id, dia, CAST(hora AS INTEGER) AS hora FROM b
+WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase')""",
         "latest_event_per_user": """
 WITH last AS (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn

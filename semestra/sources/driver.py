@@ -274,3 +274,52 @@ def sql_with(*views: str) -> str:
             if dep not in order:
                 order.append(dep)
     return "WITH " + ",\n".join(SQL_VIEWS[v].strip() for v in order)
+
+
+# ---------------------------------------------------------------------------
+# Timetable inputs
+
+# Spanish day names by Spark's dayofweek (1 = Sunday).
+WEEKDAYS = ["DOMINGO", "LUNES", "MARTES", "MIERCOLES", "JUEVES", "VIERNES", "SABADO"]
+ROOM_BASE_SEATS, ROOM_SEATS_PER_REGION = 25, 5
+
+
+def rooms(spark: SparkSession, d: str) -> DataFrame:
+    """A room per nation; capacity grows with the region key; the room pool
+    is the region."""
+    n = read(spark, d, "nation", "n_nationkey", "n_regionkey")
+    return n.select(F.concat(F.lit("R"), F.col("n_nationkey").cast("string")).alias("salon_id"),
+                    (F.lit(ROOM_BASE_SEATS) + F.lit(ROOM_SEATS_PER_REGION) * F.col("n_regionkey"))
+                    .cast("int").alias("capacidad_base"),
+                    F.col("n_regionkey").cast("int").alias("room_pool"))
+
+
+def qualified_teachers(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers that have supplied a brand may teach it; their mean grade
+    for it (2 x quantity) is the candidate's score."""
+    li = read(spark, d, "lineitem", "l_partkey", "l_suppkey", "l_quantity")
+    p = read(spark, d, "part", "p_partkey", "p_brand")
+    return (li.join(p, li.l_partkey == p.p_partkey)
+            .groupBy(F.col("l_suppkey").alias("profesor_id"),
+                     F.upper("p_brand").alias("materia_nombre"))
+            .agg(F.round(F.avg(F.col("l_quantity") * 2), 1).alias("score_predicho")))
+
+
+def restrictions(spark: SparkSession, d: str) -> DataFrame:
+    """Teacher restriction records (S14's table): a user's error events block
+    that weekday and hour; the record is active when the user ever bought."""
+    e = read(spark, d, "events", "user_id", "ts", "event_type")
+    day = F.element_at(F.array(*[F.lit(x) for x in WEEKDAYS]), F.dayofweek("ts"))
+    per_day = (e.filter(F.col("event_type") == "error")
+               .groupBy("user_id", day.alias("dia"))
+               .agg(F.array_sort(F.collect_set(F.hour("ts").cast("string"))).alias("horas")))
+    blocks = per_day.groupBy("user_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("dia", "horas"))).alias("bloqueos"))
+    active = e.groupBy("user_id").agg(
+        F.max(F.when(F.col("event_type") == "purchase", 1).otherwise(0)).alias("_p"))
+    return (blocks.join(active, "user_id")
+            .select(F.lit("profesor").alias("tipo_restriccion"),
+                    F.col("user_id").alias("profesor_id"),
+                    F.concat(F.lit("User "), F.col("user_id").cast("string")).alias("nombre_visual"),
+                    "bloqueos",
+                    F.when(F.col("_p") == 1, F.lit("True")).otherwise(F.lit("false")).alias("activo")))
