@@ -51,7 +51,7 @@ def _students(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _courses(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.normalize_courses(drv.course_catalogues(spark, d))
+    return catalog.normalize_courses(drv.course_catalogue(spark, d))
 
 
 def q_normalized_courses(spark: SparkSession, d: str) -> DataFrame:
@@ -125,9 +125,7 @@ def _scored_candidates(spark: SparkSession, d: str) -> DataFrame:
     q = drv.qualified_teachers(spark, d)
     pairs = (courses.select("materia_nombre", "carrera_materia").join(q, "materia_nombre")
              .join(drv.teachers(spark, d), "profesor_id"))
-    cands = timetable.candidate_sections(courses, pairs.drop("score_predicho"),
-                                         drv.rooms(spark, d))
-    return cands.join(q, ["profesor_id", "materia_nombre"])
+    return timetable.candidate_sections(courses, pairs, drv.rooms(spark, d))
 
 
 def q_teacher_blocks(spark: SparkSession, d: str) -> DataFrame:

@@ -98,7 +98,8 @@ def prereqs_any_form(df: DataFrame, col: str) -> Column:
 
 def normalize_course_schema(df: DataFrame) -> DataFrame:
     """Rename nombre/semestre and take the first present prerequisite
-    column (prerrequisito, prerequisitos, prerrequisitos), else null."""
+    column (prerrequisito, prerequisitos, prerrequisitos), else null.
+    Columns starting with ``_`` pass through."""
     cols = set(df.columns)
     name = F.col("nombre") if "nombre" in cols else F.col("materia_nombre")
     sem = F.col("semestre") if "semestre" in cols else F.col("semestre_materia")
@@ -107,8 +108,9 @@ def normalize_course_schema(df: DataFrame) -> DataFrame:
         if cand in cols:
             raw = F.col(cand).cast("string")
             break
+    extra = [c for c in df.columns if c.startswith("_")]
     return df.select(name.alias("materia_nombre"), sem.alias("semestre_materia"),
-                     raw.alias("prerequisitos_raw"))
+                     raw.alias("prerequisitos_raw"), *extra)
 
 
 _SCHEDULE_ENTRY = T.StructType([

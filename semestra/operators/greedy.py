@@ -4,30 +4,41 @@ The sequential rule: walk candidates best-first; skip one whose teacher-slot
 or room-slot is taken or whose course demand is already seated; otherwise
 accept it with ``min(remaining demand, capacity)`` seats; stop after N.
 
-Parallel form (local dominance): in each round every live candidate that is
-the first live one of its teacher-slot, of its room-slot and of its course is
-accepted. All earlier candidates that could change its fate are decided by
-then, so the decision is the sequential one. Accepted candidates free nothing:
-live candidates sharing their teacher-slot or room-slot die, the course's
-remaining demand drops and a fully seated course's candidates die. Each round
-is three grouped minima over the live set and a few joins against small
-per-round tables; the live set is checkpointed to the cluster's checkpoint
-folder every round so lineage never grows.
-
-The first N accepted by rank are exactly the sequential loop's first N, so a
-cap is applied at the end. Once N are accepted, live candidates ranked after
-the N-th accepted one can no longer enter the first N and are pruned.
+Parallel form (local dominance). In a round, a live candidate is *free* when
+it is the first live candidate of its teacher-slot and of its room-slot: no
+earlier candidate can take its resources any more. For each course, the free
+candidates ranked before the course's first non-free live candidate are
+decided now, in rank order: each takes ``min(capacity, remaining)`` seats
+while the course still has remaining demand (a running sum over that short
+prefix). Everything earlier that could change their fate is decided by then,
+so the decisions are the sequential loop's. Then live candidates that share
+an accepted teacher-slot or room-slot die, and a fully seated course's
+candidates die. The first live candidate overall is always free and first
+of its course, so every round accepts at least one section.
+
+Each round is two grouped minima over the live set, joins against per-round
+tables and a window over the free prefix only (bounded by the number of
+room-slots); the live set is checkpointed to the cluster's checkpoint folder
+every round so lineage never grows and a lost executor only repeats a round.
+
+The first N accepted by rank are exactly the sequential loop's first N. Once
+N are accepted, live candidates ranked after the N-th accepted one can no
+longer enter the first N and are pruned.
 """
 
 from __future__ import annotations
 
+import logging
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from semestra.session import ensure_checkpoint_dir
+from semestra.session import ensure_checkpoint_dir, materialize
+
+log = logging.getLogger(__name__)
 
 
 def rank_key(score_col: str, key_cols: Sequence[str]) -> F.Column:
@@ -43,86 +54,169 @@ def _struct_literal(value, dtype: T.StructType) -> F.Column:
                       for i, f in enumerate(dtype.fields)])
 
 
+# Fractions of the candidate ranks tried as prefixes when a cap is set.
+PREFIX_FRACTIONS = [1e-6, 1e-5, 1e-4, 1e-3, 1e-2, 0.05, 0.2, 0.5]
+
+
 def greedy_select(candidates: DataFrame, course_cols: Sequence[str], teacher_col: str,
                   room_col: str, slot_col: str, rank_col: str, capacity_col: str,
                   demand_col: str, max_sections: int | None = 100,
-                  max_rounds: int = 100_000) -> tuple[DataFrame, int]:
+                  max_rounds: int = 100_000, prefix_factor: int = 64) -> tuple[DataFrame, int]:
     """Run G1 on ``candidates`` (one row per course x teacher x room x slot,
-    ``rank_col`` a comparable struct, smaller = earlier).
+    ``rank_col`` a comparable struct whose first field ``s`` is the primary
+    key, smaller = earlier).
+
+    With a cap N, the rounds first run on a rank prefix (all candidates with
+    ``s`` at most a threshold, ties included) of roughly ``prefix_factor x N``
+    rows: decisions inside a rank prefix depend only on candidates inside it,
+    so they are the sequential loop's. If the prefix accepts at least N, its
+    first N are the answer; otherwise the prefix widens (next quantile) and
+    the rounds run again, up to the whole table. The thresholds come from one
+    ``percentile_approx`` pass (mergeable sketches, nothing row-sized reaches
+    the driver); an inexact quantile only changes the prefix size.
 
     Returns (accepted rows with ``seats``, ``round`` and ``_ord`` = 1..n in
-    sequential order; number of rounds).
+    sequential order; number of rounds run).
     """
     spark = candidates.sparkSession
     ensure_checkpoint_dir(spark)
     course_cols = list(course_cols)
     rk = rank_col
-    rk_type = candidates.schema[rk].dataType
-
-    courses = (candidates.groupBy(*course_cols)
-               .agg(F.max(demand_col).cast("long").alias("_remaining")))
-    courses = courses.checkpoint()
-    live = (candidates.join(courses.filter(F.col("_remaining") > 0).select(*course_cols),
-                            on=course_cols, how="left_semi")
-            .checkpoint())
-
-    payload = [c for c in live.columns if c != rk]
-    accepted_parts: list[DataFrame] = []
-    n_accepted = 0
-    rounds = 0
-    while rounds < max_rounds and not live.isEmpty():
-        rounds += 1
-        ts_min = live.groupBy(teacher_col, slot_col).agg(F.min(rk).alias("_m_ts"))
-        rs_min = live.groupBy(room_col, slot_col).agg(F.min(rk).alias("_m_rs"))
-        first_of_course = (live.groupBy(*course_cols)
-                           .agg(F.min(F.struct(F.col(rk).alias("_r"),
-                                               *[F.col(c) for c in payload
-                                                 if c not in course_cols])).alias("_w"))
-                           .select(*course_cols, "_w.*")
-                           .withColumnRenamed("_r", rk))
-        winners = (first_of_course
-                   .join(ts_min, on=[teacher_col, slot_col])
-                   .filter(F.col("_m_ts") == F.col(rk))
-                   .join(rs_min, on=[room_col, slot_col])
-                   .filter(F.col("_m_rs") == F.col(rk))
-                   .join(courses, on=course_cols)
-                   .withColumn("seats", F.least(F.col("_remaining"), F.col(capacity_col).cast("long")))
-                   .withColumn("round", F.lit(rounds))
-                   .drop("_m_ts", "_m_rs"))
-        winners = winners.checkpoint()
-        n_accepted += winners.count()
-        accepted_parts.append(winners.drop("_remaining"))
-        if len(accepted_parts) >= 16:
-            accepted_parts = [_union(accepted_parts).checkpoint()]
-
-        taken = winners.groupBy(*course_cols).agg(F.sum("seats").alias("_taken"))
-        courses = (courses.join(taken, on=course_cols, how="left")
-                   .select(*course_cols,
-                           (F.col("_remaining") - F.coalesce(F.col("_taken"), F.lit(0)))
-                           .alias("_remaining"))
-                   .checkpoint())
-        served = courses.filter(F.col("_remaining") <= 0).select(*course_cols)
-        live = (live.join(winners.select(teacher_col, slot_col), on=[teacher_col, slot_col],
-                          how="left_anti")
-                .join(winners.select(room_col, slot_col), on=[room_col, slot_col], how="left_anti")
-                .join(served, on=course_cols, how="left_anti"))
-        if max_sections is not None and n_accepted >= max_sections:
-            acc = _union(accepted_parts)
-            nth = acc.select(rk).orderBy(rk).limit(max_sections).agg(F.max(rk)).first()[0]
-            live = live.filter(F.col(rk) < _struct_literal(nth, rk_type))
-        live = live.checkpoint()
-
-    if not accepted_parts:
+    # The candidate pipeline runs once: written with the primary rank key as a
+    # top-level column, so prefix filters skip Parquet row groups by min/max.
+    candidates = materialize(candidates.withColumn("_s", F.col(rk)["s"]), "candidates")
+    s_col = F.col("_s")
+    thresholds: list[float | None] = [None]
+    if max_sections is not None:
+        stats = candidates.agg(F.count(F.lit(1)).alias("n"),
+                               F.percentile_approx(s_col, PREFIX_FRACTIONS, 100_000).alias("q")).first()
+        n = stats["n"] or 0
+        want = prefix_factor * max_sections
+        qs = [q for f, q in zip(PREFIX_FRACTIONS, stats["q"] or []) if f * n >= want]
+        thresholds = sorted(set(qs)) + [None]
+
+    courses = materialize(candidates.groupBy(*course_cols)
+                          .agg(F.max(demand_col).cast("long").alias("_remaining")), "courses")
+    state = _State(courses)
+    prev = None
+    for t in thresholds:
+        # Only the new slice of the prefix is written; decisions already made
+        # on the earlier prefix stand (its state carries over).
+        part = candidates
+        if prev is not None:
+            part = part.filter(s_col > F.lit(prev))
+        if t is not None:
+            part = part.filter(s_col <= F.lit(t))
+        state.payload.append(part)
+        _rounds(state, part, course_cols, teacher_col, room_col, slot_col, rk,
+                capacity_col, max_sections, max_rounds)
+        log.info("greedy prefix s<=%s: %d accepted after %d rounds", t, state.n_accepted,
+                 state.rounds)
+        if max_sections is not None and state.n_accepted >= max_sections:
+            break
+        prev = t
+
+    if not state.accepted:
         empty = candidates.limit(0).withColumn("seats", F.lit(0).cast("long")) \
             .withColumn("round", F.lit(0))
-        return empty.withColumn("_ord", F.lit(0)), rounds
-    acc = _union(accepted_parts)
+        return empty.withColumn("_ord", F.lit(0)), state.rounds
+    acc = _union(state.accepted)
     if max_sections is not None:
         acc = acc.orderBy(rk).limit(max_sections)
+    loop_cols = set(acc.columns)
+    written = _union(state.payload)
+    payload = [c for c in written.columns if c not in loop_cols or c == rk]
+    acc = acc.join(written.select(*payload), rk)
     # At most max_sections rows (or the number of room-slots without a cap),
     # so one ordered window over them is bounded.
     acc = acc.withColumn("_ord", F.row_number().over(Window.orderBy(rk)))
-    return acc, rounds
+    return acc, state.rounds
+
+
+class _State:
+    """Decisions so far: accepted sections (written tables), remaining demand
+    per course, rounds run, and the written candidate slices."""
+
+    def __init__(self, courses: DataFrame):
+        self.courses = courses
+        self.accepted: list[DataFrame] = []
+        self.payload: list[DataFrame] = []
+        self.n_accepted = 0
+        self.rounds = 0
+
+
+def _rounds(state: _State, candidates: DataFrame, course_cols: list[str], teacher_col: str,
+            room_col: str, slot_col: str, rk: str, capacity_col: str,
+            max_sections: int | None, max_rounds: int) -> None:
+    """The round loop on one candidate slice, continuing from ``state``."""
+    rk_type = candidates.schema[rk].dataType
+    ts_keys, rs_keys = [teacher_col, slot_col], [room_col, slot_col]
+    # The loop carries only what decisions need; the rest joins back at the end.
+    loop_cols = list(dict.fromkeys(course_cols + [teacher_col, room_col, slot_col,
+                                                  capacity_col, rk]))
+    live = candidates.select(*loop_cols).join(
+        state.courses.filter(F.col("_remaining") > 0).select(*course_cols),
+        on=course_cols, how="left_semi")
+    if state.accepted:
+        done = _union(state.accepted)
+        live = (live.join(done.select(*ts_keys), on=ts_keys, how="left_anti")
+                .join(done.select(*rs_keys), on=rs_keys, how="left_anti"))
+        if max_sections is not None and state.n_accepted >= max_sections:
+            live = live.filter(F.col(rk) < _struct_literal(_nth(done, rk, max_sections), rk_type))
+    live = materialize(live, "live")
+
+    while state.rounds < max_rounds and not live.isEmpty():
+        state.rounds += 1
+        t0 = time.perf_counter()
+        courses = state.courses
+        ts_min = live.groupBy(*ts_keys).agg(F.min(rk).alias("_m_ts"))
+        rs_min = live.groupBy(*rs_keys).agg(F.min(rk).alias("_m_rs"))
+        tagged = (live.join(ts_min, ts_keys).join(rs_min, rs_keys)
+                  .withColumn("_free", (F.col(rk) == F.col("_m_ts")) & (F.col(rk) == F.col("_m_rs")))
+                  .drop("_m_ts", "_m_rs"))
+        stop = (tagged.filter(~F.col("_free")).groupBy(*course_cols)
+                .agg(F.min(rk).alias("_stop")))
+        prefix = (tagged.filter(F.col("_free"))
+                  .join(stop, course_cols, "left")
+                  .filter(F.col("_stop").isNull() | (F.col(rk) < F.col("_stop")))
+                  .drop("_stop", "_free")
+                  .join(courses, course_cols))
+        by_course = Window.partitionBy(*course_cols).orderBy(rk) \
+            .rowsBetween(Window.unboundedPreceding, -1)
+        left_before = F.col("_remaining") - F.coalesce(
+            F.sum(F.col(capacity_col).cast("long")).over(by_course), F.lit(0))
+        winners = (prefix.withColumn("_left", left_before)
+                   .filter(F.col("_left") > 0)
+                   .withColumn("seats", F.least(F.col("_left"), F.col(capacity_col).cast("long")))
+                   .withColumn("round", F.lit(state.rounds))
+                   .drop("_left", "_remaining"))
+        winners = materialize(winners, "winners")
+        state.n_accepted += winners.count()
+        state.accepted.append(winners)
+        if len(state.accepted) >= 16:
+            state.accepted = [materialize(_union(state.accepted), "accepted")]
+
+        taken = winners.groupBy(*course_cols).agg(F.sum("seats").alias("_taken"))
+        state.courses = materialize(
+            courses.join(taken, on=course_cols, how="left")
+            .select(*course_cols,
+                    (F.col("_remaining") - F.coalesce(F.col("_taken"), F.lit(0)))
+                    .alias("_remaining")), "courses")
+        served = state.courses.filter(F.col("_remaining") <= 0).select(*course_cols)
+        live = (live.join(winners.select(*ts_keys), on=ts_keys, how="left_anti")
+                .join(winners.select(*rs_keys), on=rs_keys, how="left_anti")
+                .join(served, on=course_cols, how="left_anti"))
+        if max_sections is not None and state.n_accepted >= max_sections:
+            nth = _nth(_union(state.accepted), rk, max_sections)
+            live = live.filter(F.col(rk) < _struct_literal(nth, rk_type))
+        live = materialize(live, "live")
+        log.info("greedy round %d: accepted %d in %.2fs", state.rounds, state.n_accepted,
+                 time.perf_counter() - t0)
+
+
+def _nth(acc: DataFrame, rk: str, n: int):
+    """Rank of the n-th accepted section (n is the cap, a small number)."""
+    return acc.select(rk).orderBy(rk).limit(n).agg(F.max(rk)).first()[0]
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

@@ -17,22 +17,33 @@ from semestra.plans.demand import ACTIVE
 GRADUATED = "Egresado"  # fixed value: state after passing every course
 
 
-def normalize_courses(catalogues: Mapping[str, DataFrame]) -> DataFrame:
-    """Q1: one raw catalogue per career -> one clean catalogue.
+def _clean_catalogue(raw: DataFrame, career: str | None) -> DataFrame:
+    """P1, P2, P3, F4 and the career tag (P4) for one raw catalogue; a
+    ``carrera`` column already present is kept (cleaned) when career is None."""
+    clean = clean_str_cols(raw)
+    tag = F.lit(career) if career is not None else F.col("carrera")
+    df = normalize_course_schema(clean.withColumn("_carrera", tag))
+    return df.select(
+        upper_name("materia_nombre").alias("materia_nombre"),
+        F.col("semestre_materia").try_cast("int").alias("semestre_materia"),
+        parse_prereqs("prerequisitos_raw").alias("prerequisitos"),
+        F.col("_carrera").alias("carrera"))
 
-    P1 clean text, P2 common schema, P3 upper-case names, F4 prerequisite
-    arrays, P4 career tag, U1 union by name, U3 one row per
-    (name, prerequisites, career) with a deterministic survivor, T1 order.
+
+def normalize_courses(catalogues: Mapping[str, DataFrame] | DataFrame) -> DataFrame:
+    """Q1: raw catalogues -> one clean catalogue.
+
+    ``catalogues`` is one raw frame per career (the key is the career), or
+    one frame that already carries a ``carrera`` column. P1 clean text, P2
+    common schema, P3 upper-case names, F4 prerequisite arrays, P4 career
+    tag, U1 union by name, U3 one row per (name, prerequisites, career) with
+    a deterministic survivor, T1 order.
     """
-    frames = []
-    for career, raw in catalogues.items():
-        df = normalize_course_schema(clean_str_cols(raw))
-        frames.append(df.select(
-            upper_name("materia_nombre").alias("materia_nombre"),
-            F.col("semestre_materia").try_cast("int").alias("semestre_materia"),
-            parse_prereqs("prerequisitos_raw").alias("prerequisitos"),
-            F.lit(career).alias("carrera")))
-    merged = union_all_by_name(frames)
+    if isinstance(catalogues, DataFrame):
+        merged = _clean_catalogue(catalogues, None)
+    else:
+        merged = union_all_by_name([_clean_catalogue(raw, career)
+                                    for career, raw in catalogues.items()])
     return (distinct_on(merged, ["materia_nombre", "prerequisitos", "carrera"])
             .orderBy("semestre_materia", "materia_nombre", "carrera"))
 

@@ -49,17 +49,27 @@ def candidate_sections(courses: DataFrame, teacher_pairs: DataFrame, rooms: Data
     The teacher and room sides are equi-joins on the course and on the room
     pool (never a cross join); the slots are a literal array exploded per row
     (a bounded generator). Columns: materia_nombre, semestre_materia,
-    carrera_materia, demanda_real, profesor_id, nombre_profesor, salon_id,
-    capacidad_base, str, inicio.
+    carrera_materia, demanda_real, profesor_id, nombre_profesor (plus any
+    other teacher-pair column, e.g. a score), salon_id, capacidad_base, str,
+    inicio.
+
+    The room join and the slot explode multiply rows by rooms x slots after
+    the last shuffle, so the (course, teacher) pairs are spread over the
+    session's shuffle partitions first; otherwise adaptive coalescing, which
+    only sees the small pre-explode size, would run the expansion in one task.
     """
     keys = ["materia_nombre", "carrera_materia"]
     c = courses.select(*keys, "semestre_materia", "demanda_real", "room_pool")
     r = broadcast_if_small(rooms.select("salon_id", "capacidad_base", "room_pool"))
-    return (c.join(teacher_pairs, keys)
+    n_parts = int(courses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = c.join(teacher_pairs, keys)
+    extra = [x for x in pairs.columns
+             if x not in set(keys) | {"semestre_materia", "demanda_real", "room_pool"}]
+    return (pairs.repartition(n_parts, *keys, "profesor_id")
             .join(r, "room_pool")
             .withColumn("_slot", F.explode(slot_array(slots)))
-            .select(*keys, "semestre_materia", "demanda_real", "profesor_id",
-                    "nombre_profesor", "salon_id", "capacidad_base",
+            .select(*keys, "semestre_materia", "demanda_real", *extra, "salon_id",
+                    "capacidad_base",
                     F.col("_slot.str").alias("str"), F.col("_slot.inicio").alias("inicio")))
 
 

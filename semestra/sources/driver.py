@@ -133,9 +133,10 @@ def student_snapshots(spark: SparkSession, d: str) -> DataFrame:
                     F.col("term").alias("semestre_historico")))
 
 
-def course_catalogues(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """Raw per-career catalogues (nombre, semestre text, prerrequisito JSON
-    text or null), one per segment, derived from the brands sold in it."""
+def course_catalogue(spark: SparkSession, d: str) -> DataFrame:
+    """Raw catalogue rows (carrera, nombre, semestre text, prerrequisito JSON
+    text or null): the brands sold in each segment. One scan of the sections
+    for all careers."""
     s = sections(spark, d).filter(F.col("materia_nombre").isNotNull())
     raw = s.select("carrera", F.col("materia_nombre").alias("b")).distinct()
     k = brand_number(F.col("b"))
@@ -146,7 +147,7 @@ def course_catalogues(spark: SparkSession, d: str) -> dict[str, DataFrame]:
         F.when(k > BRANDS_PER_SEMESTER,
                F.concat(F.lit('["Brand#'), (k - BRANDS_PER_SEMESTER).cast("string"), F.lit('"]')))
         .alias("prerrequisito"))
-    return {seg: raw.filter(F.col("carrera") == seg).drop("carrera") for seg in SEGMENTS}
+    return raw
 
 
 def attendance_events(spark: SparkSession, d: str) -> DataFrame:
