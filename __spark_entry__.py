@@ -8,6 +8,7 @@ query in DuckDB SQL, including the same derivation of the academic views.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -111,6 +112,19 @@ def q_attendance_by_hour(spark: SparkSession, d: str) -> DataFrame:
     return att.attendance_by_hour(_attendance_joined(spark, d))
 
 
+def q_attendance_stream(spark: SparkSession, d: str) -> DataFrame:
+    # Run the stream over every event file present (availableNow), then
+    # roll the state table up to the per-teacher statistics of Q14a.
+    from semestra.session import ensure_checkpoint_dir
+    from semestra.streaming import attendance as stream
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/w1-{uuid.uuid4().hex}"
+    q = stream.run_attendance_stream(drv.attendance_event_stream(spark, d),
+                                     drv.attendance_sections(spark, d), f"{base}/counts",
+                                     f"{base}/checkpoint")
+    q.awaitTermination()
+    return stream.stats_from_counts(spark.read.parquet(f"{base}/counts"))
+
+
 def q_latest_event_per_user(spark: SparkSession, d: str) -> DataFrame:
     log = drv.read(spark, d, "events", "event_id", "ts", "user_id", "event_type", "value") \
         .withColumn("op", F.when(F.col("event_type") == "error", F.lit("delete"))
@@ -159,6 +173,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "teacher_extremes": q_teacher_extremes,
         "attendance_by_teacher": q_attendance_by_teacher,
         "attendance_by_hour": q_attendance_by_hour,
+        "attendance_stream": q_attendance_stream,
         "latest_event_per_user": q_latest_event_per_user,
         "teacher_blocks": q_teacher_blocks,
         "timetable": q_timetable,
@@ -194,6 +209,20 @@ dem AS (
 )"""
 
 
+_ATT_BY_TEACHER = _W("att") + """,
+j AS (SELECT a.*, s.profesor_id, s.hora_inicio_promedio FROM att a JOIN att_sec s USING (grupo_id)),
+st AS (
+  SELECT profesor_id, count(*) AS total,
+         count(CASE WHEN tipo_evento = 'Entrada' THEN 1 END) AS asistencias,
+         count(CASE WHEN tipo_evento = 'Ausencia' THEN 1 END) AS faltas
+  FROM j GROUP BY profesor_id
+)
+SELECT *, CASE WHEN total = 0 THEN 0.0
+               WHEN asistencias / total > 0.5 THEN 0.5
+               WHEN faltas > asistencias THEN -0.5 ELSE 0.0 END AS factor_asistencia
+FROM st"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "bottleneck_courses": _W("sec", "enr") + """
@@ -328,18 +357,8 @@ bot AS (SELECT *, 'Bottom 5' AS ranking FROM el
 SELECT nombre_profesor, calificacion_promedio, total_grupos_impartidos, ranking FROM top
 UNION ALL
 SELECT nombre_profesor, calificacion_promedio, total_grupos_impartidos, ranking FROM bot""",
-        "attendance_by_teacher": _W("att") + """,
-j AS (SELECT a.*, s.profesor_id, s.hora_inicio_promedio FROM att a JOIN att_sec s USING (grupo_id)),
-st AS (
-  SELECT profesor_id, count(*) AS total,
-         count(CASE WHEN tipo_evento = 'Entrada' THEN 1 END) AS asistencias,
-         count(CASE WHEN tipo_evento = 'Ausencia' THEN 1 END) AS faltas
-  FROM j GROUP BY profesor_id
-)
-SELECT *, CASE WHEN total = 0 THEN 0.0
-               WHEN asistencias / total > 0.5 THEN 0.5
-               WHEN faltas > asistencias THEN -0.5 ELSE 0.0 END AS factor_asistencia
-FROM st""",
+        "attendance_by_teacher": _ATT_BY_TEACHER,
+        "attendance_stream": _ATT_BY_TEACHER,
         "attendance_by_hour": _W("att") + """,
 j AS (SELECT a.*, s.profesor_id, s.hora_inicio_promedio FROM att a JOIN att_sec s USING (grupo_id))
 SELECT hora_inicio_promedio,

@@ -150,9 +150,9 @@ def course_catalogue(spark: SparkSession, d: str) -> DataFrame:
     return raw
 
 
-def attendance_events(spark: SparkSession, d: str) -> DataFrame:
-    """Events as attendance records (all text, as the stream delivers them)."""
-    e = read(spark, d, "events", "event_id", "ts", "user_id", "event_type")
+def attendance_records(e: DataFrame) -> DataFrame:
+    """Event rows -> attendance records (all text, as the stream delivers
+    them): present unless the event is an error."""
     return e.select(
         F.col("event_id").cast("string").alias("asistencia_id"),
         F.col("user_id").cast("string").alias("alumno_id"),
@@ -163,6 +163,19 @@ def attendance_events(spark: SparkSession, d: str) -> DataFrame:
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp_ingesta"))
 
 
+def attendance_events(spark: SparkSession, d: str) -> DataFrame:
+    return attendance_records(read(spark, d, "events", "event_id", "ts", "user_id", "event_type"))
+
+
+def attendance_event_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The events table as a file stream (the Parquet file is the source)."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    # A glob path: for a plain file path the source would take the file as
+    # its partition base directory and fail.
+    raw = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet")
+    return attendance_records(raw)
+
+
 def attendance_sections(spark: SparkSession, d: str) -> DataFrame:
     """The attendance stand-in's sections: one per user, teacher = the user,
     start hour = the hour of the user's first event (a grouped min)."""
