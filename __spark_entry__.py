@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from semestra.operators.joins import latest_key_semi
 from semestra.plans import attendance as att
-from semestra.plans import catalog, demand, features, insights, timetable
+from semestra.plans import catalog, demand, features, insights, model, timetable
 from semestra.sources import driver as drv
 from semestra.sources.files import parse_events
 from semestra.sources.store import upsert_latest
@@ -77,6 +77,42 @@ def q_model_table(spark: SparkSession, d: str) -> DataFrame:
     return mt.drop("horario_visual")
 
 
+def _model_ready(spark: SparkSession, d: str) -> DataFrame:
+    dem = demand.potential_demand_history(_students(spark, d), _courses(spark, d))
+    return features.model_table(drv.sections(spark, d), drv.enrolments(spark, d), dem,
+                                drv.teachers(spark, d))
+
+
+def q_model_holdout_scores(spark: SparkSession, d: str) -> DataFrame:
+    # M1-M6 + M8: fit indexer + assembler + GBT on a hash split of
+    # model_ready (fixed parameters here; train_model also runs the grid
+    # search), score the held-out sections.
+    from semestra.session import materialize
+    # Written once: the indexer fit, the boosting passes and the scoring read
+    # the table instead of recomputing the feature pipeline.
+    mt = materialize(model.training_frame(_model_ready(spark, d)).drop("horario_visual"),
+                     "model_ready")
+    train, test = model.hash_split(mt, "grupo_id")
+    fitted = model.train_model(train, grid=False, depth=[5], iters=[20])
+    return model.score_candidates(fitted, test).select(
+        "grupo_id", model.LABEL, "prediction", "score_predicho")
+
+
+def q_next_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    totals = _courses(spark, d).groupBy("carrera").agg(F.count(F.lit(1)).alias("total_materias"))
+    nxt = catalog.next_snapshot(_students(spark, d), drv.term_passes(spark, d), totals,
+                                keys=("alumno_id", "semestre_historico"))
+    return nxt.select("alumno_id", "semestre_historico", "estado", "semestre_actual",
+                      F.size("materias_aprobadas").alias("n_aprobadas"))
+
+
+def q_live_context(spark: SparkSession, d: str) -> DataFrame:
+    ctx = catalog.live_context(_students(spark, d), drv.customer_enrolments(spark, d),
+                               drv.sections(spark, d))
+    return ctx.select("grupo_id", "alumno_id", "calificacion_final", "semestre_historico",
+                      "materia_nombre", "profesor_id", "hora_inicio_promedio")
+
+
 def q_enrolment_trend(spark: SparkSession, d: str) -> DataFrame:
     return insights.active_enrolment_trend(_students(spark, d))
 
@@ -167,6 +203,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "potential_demand": q_potential_demand,
         "current_demand": q_current_demand,
         "model_table": q_model_table,
+        "model_holdout_scores": q_model_holdout_scores,
+        "next_snapshot": q_next_snapshot,
+        "live_context": q_live_context,
         "enrolment_trend": q_enrolment_trend,
         "enrolment_trend_pivot": q_enrolment_trend_pivot,
         "hour_bias": q_hour_bias,
@@ -320,6 +359,32 @@ SELECT (uc + ta + dpf + q / 100.0 + 0.0 - tc) / 5.0 AS Y_TOO_Historica,
        salon_id AS salon_id_visual, CAST(dp AS BIGINT) AS demanda_raw_historica,
        nombre_profesor AS profesor_nombre_visual
 FROM g""",
+        "next_snapshot": _W("stu", "crs") + """,
+tot AS (SELECT carrera, count(*) AS total FROM crs GROUP BY carrera),
+x AS (
+  SELECT s.*, t.total,
+         list_distinct(list_concat(s.materias_aprobadas, coalesce(p.now, []::VARCHAR[]))) AS m2
+  FROM stu s
+  LEFT JOIN passed_now p ON s.alumno_id = p.o_custkey AND s.semestre_historico = p.term
+  LEFT JOIN tot t ON s.carrera = t.carrera
+)
+SELECT alumno_id, semestre_historico,
+       CASE WHEN estado = 'Activo' AND total IS NOT NULL AND len(m2) >= total
+            THEN 'Egresado' ELSE estado END AS estado,
+       CASE WHEN estado = 'Activo' AND total IS NOT NULL AND len(m2) < total
+            THEN semestre_actual + 1 ELSE semestre_actual END AS semestre_actual,
+       CAST(len(m2) AS INTEGER) AS n_aprobadas
+FROM x""",
+        "live_context": _W("sec", "enr", "stu") + """,
+enr_c AS (
+  SELECT e.grupo_id, o.o_custkey AS alumno_id, e.calificacion_final
+  FROM enr e JOIN orders o ON e.grupo_id = o.o_orderkey
+)
+SELECT e.grupo_id, e.alumno_id, e.calificacion_final, s.semestre_historico, s.materia_nombre,
+       s.profesor_id, s.hora_inicio_promedio
+FROM enr_c e JOIN sec s ON e.grupo_id = s.grupo_id
+WHERE s.semestre_historico = (SELECT max(semestre_historico) FROM sec)
+  AND e.alumno_id IN (SELECT alumno_id FROM stu WHERE estado = 'Activo')""",
         "enrolment_trend": _W("stu") + """
 SELECT semestre_historico, carrera, count(DISTINCT alumno_id) AS num_alumnos_activos
 FROM stu WHERE estado = 'Activo' GROUP BY ALL""",

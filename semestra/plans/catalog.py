@@ -60,17 +60,21 @@ def normalize_students(snapshots: DataFrame) -> DataFrame:
 
 
 def next_snapshot(students: DataFrame, new_passes: DataFrame,
-                  courses_per_career: DataFrame) -> DataFrame:
+                  courses_per_career: DataFrame,
+                  keys: tuple[str, ...] = ("alumno_id",)) -> DataFrame:
     """Q18: the next term's snapshot. Newly passed courses join the passed
     set; an active student who has passed at least as many courses as the
     career has graduates, otherwise moves up one semester. Other states and
     unknown careers are unchanged.
 
-    ``new_passes``: (alumno_id, materia_nombre); ``courses_per_career``:
-    (carrera, total_materias).
+    ``new_passes``: (keys..., materia_nombre); ``courses_per_career``:
+    (carrera, total_materias). ``keys`` identify a snapshot row (add the term
+    when the table holds several terms). The per-student set is bounded by
+    the catalogue, and collect_set combines map-side.
     """
-    new = new_passes.groupBy("alumno_id").agg(F.collect_set("materia_nombre").alias("_new"))
-    s = (students.join(new, "alumno_id", "left")
+    keys = list(keys)
+    new = new_passes.groupBy(*keys).agg(F.collect_set("materia_nombre").alias("_new"))
+    s = (students.join(new, keys, "left")
          .join(courses_per_career, "carrera", "left")
          .withColumn("materias_aprobadas",
                      F.array_union(F.coalesce("materias_aprobadas", F.array().cast("array<string>")),

@@ -92,6 +92,28 @@ def enrolments(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def customer_enrolments(spark: SparkSession, d: str) -> DataFrame:
+    """Enrolments keyed by the student (the order's customer)."""
+    o = read(spark, d, "orders", "o_orderkey", "o_custkey")
+    e = enrolments(spark, d)
+    return e.join(o, e.grupo_id == o.o_orderkey).drop("alumno_id", "o_orderkey") \
+        .withColumnRenamed("o_custkey", "alumno_id")
+
+
+def term_passes(spark: SparkSession, d: str) -> DataFrame:
+    """(alumno_id, semestre_historico, materia_nombre): brands a customer
+    bought with grade >= 70 in a term (the term's newly passed courses)."""
+    o = read(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    li = read(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_quantity")
+    p = read(spark, d, "part", "p_partkey", "p_brand")
+    return (li.filter(F.col("l_quantity") * 2 >= 70)
+            .join(o, li.l_orderkey == o.o_orderkey)
+            .join(p, F.col("l_partkey") == p.p_partkey)
+            .select(F.col("o_custkey").alias("alumno_id"),
+                    term_of(F.col("o_orderdate")).alias("semestre_historico"),
+                    F.upper("p_brand").alias("materia_nombre")))
+
+
 def teachers(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "supplier", "s_suppkey", "s_name").select(
         F.col("s_suppkey").alias("profesor_id"), F.col("s_name").alias("nombre_profesor"))
