@@ -159,3 +159,20 @@ def schedule_kpis(timetable: DataFrame) -> DataFrame:
         round_half_even(F.when(F.col("capacidad_abierta") > 0,
                                F.col("cupos_asignados") / F.col("capacidad_abierta") * 100)
                         .otherwise(F.lit(0.0)), 1).alias("demandaSatisfecha"))
+
+
+def filter_suggestions(timetable: DataFrame, carrera: str = "all", semestre: str = "all",
+                       text: str = "") -> DataFrame:
+    """The suggestion list as the planner filters it: career and semester
+    equal unless 'all'; the text, case-insensitive, inside the course or the
+    teacher name (empty text keeps every row)."""
+    cond = F.lit(True)
+    if carrera != "all":
+        cond = cond & (F.col("carrera") == F.lit(carrera))
+    if semestre != "all":
+        cond = cond & (F.col("semestre").cast("string") == F.lit(str(semestre)))
+    if text:
+        needle = F.lower(F.lit(text))
+        cond = cond & (F.coalesce(F.contains(F.lower("materia"), needle), F.lit(False))
+                       | F.coalesce(F.contains(F.lower("profesor"), needle), F.lit(False)))
+    return timetable.filter(cond)

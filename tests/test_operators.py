@@ -131,3 +131,41 @@ def test_bottleneck_top_k_tie_break_q7(spark):
     enr = spark.createDataFrame([(i, 50.0) for i in range(7)], "grupo_id int, calificacion_final double")
     got = [r.materia_nombre for r in insights.bottleneck_courses(enr, sec).collect()]
     assert got == ["M0", "M1", "M2", "M3", "M4"]
+
+
+def test_filter_suggestions_p11(spark):
+    from semestra.plans.timetable import filter_suggestions
+    df = spark.createDataFrame([("REDES", "Ana Ruiz", "ISC", 5), ("CÁLCULO", "Beto", "IND", 1)],
+                               "materia string, profesor string, carrera string, semestre int")
+    assert filter_suggestions(df, text="ruiz").count() == 1
+    assert filter_suggestions(df, carrera="IND", semestre="1").count() == 1
+    assert filter_suggestions(df, carrera="IND", semestre="5").count() == 0
+    assert filter_suggestions(df).count() == 2
+
+
+def test_shared_course_id_f26(spark):
+    from semestra.functions.schedule import shared_course_id
+    cat = spark.createDataFrame([("ÉTICA", "ISC"), ("ÉTICA", "IND"), ("REDES", "ISC")],
+                                "materia_nombre string, carrera string")
+    out = A.shared_course_ids(cat).select(
+        "materia_nombre", "carrera",
+        shared_course_id("materia_nombre", "carrera", "_n_careers").alias("id")).collect()
+    assert sorted(r.id for r in out) == ["CB-ÉTICA", "CB-ÉTICA", "ISC-REDES"]
+
+
+def test_prereqs_any_form_f27(spark):
+    from semestra.functions.text import prereqs_any_form
+    arr = spark.createDataFrame([([" a ", "b"],), (None,)], "p array<string>")
+    txt = spark.createDataFrame([('["a", "b"]',), (None,)], "p string")
+    assert [r[0] for r in arr.select(prereqs_any_form(arr, "p")).collect()] == [["A", "B"], []]
+    assert [r[0] for r in txt.select(prereqs_any_form(txt, "p")).collect()] == [["A", "B"], []]
+
+
+def test_field_fallback_and_coerce_p12_p13(spark):
+    from semestra.sources.store import coerce_for_store, field_fallback
+    df = spark.createDataFrame([(None, "G7", "12", 1.5), ("", None, "x", 2.0)],
+                               "grupo_id string, grupo string, anio string, promedio double")
+    got = [r[0] for r in df.select(field_fallback(df, "grupo_id", "grupo", "N/A")).collect()]
+    assert got == ["G7", "N/A"]
+    out = coerce_for_store(df, int_fields=["anio", "missing"], avg_field="promedio").collect()
+    assert [(r.anio, r.promedio) for r in out] == [(12, "1.5"), (None, "2.0")]
