@@ -182,6 +182,19 @@ def q_teacher_blocks(spark: SparkSession, d: str) -> DataFrame:
     return timetable.restriction_blocks(drv.restrictions(spark, d))
 
 
+def q_teacher_block_summary(spark: SparkSession, d: str) -> DataFrame:
+    return timetable.restriction_summary(drv.restrictions(spark, d))
+
+
+def q_sections_needed(spark: SparkSession, d: str) -> DataFrame:
+    snapshot = latest_key_semi(_students(spark, d), "semestre_historico")
+    return timetable.sections_plan(demand.current_demand(snapshot, _courses(spark, d)))
+
+
+def q_hour_bias_chart(spark: SparkSession, d: str) -> DataFrame:
+    return insights.hour_bias_chart(q_hour_bias(spark, d))
+
+
 def q_timetable(spark: SparkSession, d: str) -> DataFrame:
     stats = att.attendance_stats(_attendance_joined(spark, d)) \
         .withColumn("profesor_id", F.col("profesor_id").cast("long"))
@@ -215,6 +228,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "attendance_stream": q_attendance_stream,
         "latest_event_per_user": q_latest_event_per_user,
         "teacher_blocks": q_teacher_blocks,
+        "teacher_block_summary": q_teacher_block_summary,
+        "sections_needed": q_sections_needed,
+        "hour_bias_chart": q_hour_bias_chart,
         "timetable": q_timetable,
         "schedule_kpis": q_schedule_kpis,
     }
@@ -439,6 +455,47 @@ WITH b AS (
 )
 SELECT DISTINCT user_id AS profesor_id, dia, CAST(hora AS INTEGER) AS hora FROM b
 WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase')""",
+        "teacher_block_summary": """
+WITH e AS (
+  SELECT user_id, event_type, hour(ts) AS h,
+         ['DOMINGO','LUNES','MARTES','MIERCOLES','JUEVES','VIERNES','SABADO'][dayofweek(ts) + 1] AS dia
+  FROM events
+),
+b AS (
+  SELECT user_id, dia, list_sort(list(DISTINCT CAST(h AS VARCHAR))) AS horas
+  FROM e WHERE event_type = 'error' GROUP BY user_id, dia
+),
+act AS (
+  SELECT user_id FROM events GROUP BY user_id
+  HAVING max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) = 1
+)
+SELECT user_id AS profesor_id,
+       string_agg(dia || ': ' || array_to_string(horas, ', '), ' | ' ORDER BY dia) AS bloqueos_texto,
+       CAST(sum(len(horas)) AS INTEGER) AS total_horas
+FROM b WHERE user_id IN (SELECT user_id FROM act) GROUP BY user_id""",
+        "sections_needed": _W("stu", "crs") + """,
+cur AS (SELECT * FROM stu WHERE semestre_historico = (SELECT max(semestre_historico) FROM stu)),
+d AS (
+  SELECT c.materia_nombre, c.semestre_materia, c.carrera AS carrera_materia,
+         CAST(count(*) AS BIGINT) AS demanda_real
+  FROM cur s JOIN crs c ON s.carrera = c.carrera AND s.semestre_actual >= c.semestre_materia
+  WHERE s.estado = 'Activo' AND list_has_all(s.materias_aprobadas, c.prerequisitos)
+    AND NOT list_contains(s.materias_aprobadas, c.materia_nombre)
+  GROUP BY ALL HAVING count(*) >= 15
+)
+SELECT *, CAST(ceil(demanda_real / CASE WHEN semestre_materia > 5 THEN 25 ELSE 35 END) AS BIGINT)
+          AS grupos_necesarios
+FROM d""",
+        "hour_bias_chart": _W("sec", "enr") + """,
+h AS (
+  SELECT hora_inicio_promedio,
+         avg(CASE WHEN calificacion_final >= 70 THEN 1 ELSE 0 END) AS t
+  FROM enr JOIN sec USING (grupo_id) GROUP BY hora_inicio_promedio
+)
+SELECT hora_inicio_promedio,
+       CASE WHEN t <= 1 THEN CAST(round(CAST(t * 100 AS DECIMAL(38, 10)), 1) AS DOUBLE) ELSE t END
+         AS tasa_pct
+FROM h""",
         "latest_event_per_user": """
 WITH last AS (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn

@@ -72,10 +72,14 @@ def block_map_ints(blocks) -> Column:
     return F.map_filter(as_ints, lambda k, v: v.isNotNull())
 
 
-def blocks_text(blocks) -> Column:
-    """A11: "DAY: h, h | DAY: h" for a block map."""
+def blocks_text(blocks, sort_days: bool = True) -> Column:
+    """A11: "DAY: h, h | DAY: h" for a block map (days in name order unless
+    ``sort_days`` is off, then in map order)."""
+    entries = F.map_entries(_c(blocks))
+    if sort_days:
+        entries = F.array_sort(entries)
     parts = F.transform(
-        F.map_entries(_c(blocks)),
+        entries,
         lambda e: F.concat(e["key"], F.lit(": "),
                            F.array_join(F.transform(e["value"], lambda h: h.cast("string")), ", ")))
     return F.array_join(parts, " | ")
@@ -86,6 +90,12 @@ def hours_blocked_per_day(blocks) -> Column:
     return F.transform_values(_c(blocks), lambda k, v: F.size(v))
 
 
+def total_blocked_hours(blocks) -> Column:
+    """Sum of A14 over the days of a block map."""
+    return F.aggregate(F.map_values(hours_blocked_per_day(blocks)), F.lit(0),
+                       lambda acc, x: acc + x)
+
+
 def _contains_any(col: Column, words: list[str]) -> Column:
     cond = F.lit(False)
     for w in words:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from semestra.functions.numeric import percent_if_fraction
 from semestra.operators.aggregates import distinct_count, fail_rate, pass_rate, pivot_max
 from semestra.operators.ordering import numeric_text_order, top_and_bottom, top_k
 from semestra.plans.demand import ACTIVE
@@ -71,3 +72,11 @@ def teacher_extremes(enrolments: DataFrame, sections: DataFrame, teachers: DataF
     both = top_and_bottom(eligible, "calificacion_promedio", k, ["profesor_id"])
     return both.select("nombre_profesor", "calificacion_promedio",
                        "total_grupos_impartidos", "ranking")
+
+
+def hour_bias_chart(bias: DataFrame) -> DataFrame:
+    """F17 + T5: the pass-rate chart's rows: hour and rate in percent with one
+    decimal, ordered by hour as a number."""
+    return (bias.select("hora_inicio_promedio",
+                        percent_if_fraction("tasa_aprobacion_promedio").alias("tasa_pct"))
+            .orderBy(numeric_text_order("hora_inicio_promedio")))

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from semestra.functions.numeric import (ATTENDANCE_POINTS, MIN_OPEN_SEATS, active_flag, clip,
                                         occupancy_factor, round_half_even, seats_text)
-from semestra.functions.schedule import (DEFAULT_SLOTS, block_map_ints, department_of,
-                                         is_lab_room, needs_lab)
+from semestra.functions.numeric import sections_needed
+from semestra.functions.schedule import (DEFAULT_SLOTS, block_map_ints, blocks_text,
+                                         department_of, is_lab_room, needs_lab,
+                                         total_blocked_hours)
 from semestra.operators.greedy import greedy_select, rank_key
 from semestra.operators.joins import drop_blocked
 from semestra.session import broadcast_if_small
@@ -84,6 +86,23 @@ def restriction_blocks(restrictions: DataFrame) -> DataFrame:
             .distinct())
 
 
+def restriction_summary(restrictions: DataFrame) -> DataFrame:
+    """Q15 as the control panel lists it: per active teacher with at least
+    one clean day, the block text (A11) and the number of blocked hours (A14)."""
+    clean = (restrictions.filter(active_flag("activo"))
+             .select("profesor_id", block_map_ints("bloqueos").alias("_b"))
+             .filter(F.size("_b") > 0))
+    return clean.select("profesor_id", blocks_text("_b").alias("bloqueos_texto"),
+                        total_blocked_hours("_b").alias("total_horas"))
+
+
+def sections_plan(demand: DataFrame) -> DataFrame:
+    """sections a course needs for its demand (groups of 25 above the
+    fifth semester, else 35)."""
+    return demand.withColumn("grupos_necesarios",
+                             sections_needed("demanda_real", "semestre_materia"))
+
+
 def greedy_timetable(scored: DataFrame, blocks: DataFrame | None = None,
                      attendance: DataFrame | None = None,
                      max_sections: int | None = MAX_SECTIONS,
