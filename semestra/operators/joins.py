@@ -47,7 +47,7 @@ def career_semester_join(students: DataFrame, courses: DataFrame,
     >= the course's semester. Written as an equi-join on career with a range
     residual (never a cross join); the catalogue side is broadcast only when a
     count proves it small."""
-    cat = broadcast_if_small(courses)
+    cat = broadcast_if_small(courses, write_first=True)
     cond = [F.col(student_career) == F.col(course_career),
             F.col(student_sem) >= F.col(course_sem)]
     return students.join(cat, on=cond, how="inner")

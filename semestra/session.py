@@ -61,12 +61,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                       write_first: bool = False) -> DataFrame:
     """Hint a broadcast only when a count proves the side small.
 
     The count is one scalar job; above the bound the plain DataFrame is
-    returned and Catalyst/AQE pick a shuffle join.
+    returned and Catalyst/AQE pick a shuffle join. With ``write_first`` a
+    derived side is written once (``materialize``) so the count and the join
+    read the written table instead of running its pipeline twice.
     """
+    if write_first:
+        df = materialize(df, "dim")
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 
