@@ -319,7 +319,7 @@ pt AS (
 SELECT s.grupo_id, s.semestre_historico, s.materia_nombre, s.profesor_id,
        CAST(round(CAST(pt.q AS DECIMAL(38, 10)), 2) AS DOUBLE) AS Cp_Profesor,
        CAST(round(CAST(pg.cpg AS DECIMAL(38, 10)), 2) AS DOUBLE) AS Cp_Grupo,
-       pg.n AS num_alumnos_curso
+       coalesce(pg.n, 0) AS num_alumnos_curso
 FROM sec s JOIN pt ON s.profesor_id = pt.profesor_id
 LEFT JOIN pg ON s.grupo_id = pg.grupo_id""",
         "normalized_courses": _W("crs") + """

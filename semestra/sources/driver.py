@@ -4,7 +4,7 @@ Every planning query runs on the academic schema (sections, enrolments,
 students, courses, teachers, attendance). On the driver's tables these are
 derived, by Spark, from whole tables:
 
-  section     = an order (term = half-year of the order date, career = the
+  section     = an order with a first line (term = half-year of the order date, career = the
                 customer's market segment, course = brand of line 1's part,
                 teacher = line 1's supplier, room = the customer's nation)
   enrolment   = a line item (grade = 2 x quantity, dropped = return flag R)
@@ -55,7 +55,8 @@ def sections(spark: SparkSession, d: str) -> DataFrame:
           .filter(F.col("l_linenumber") == 1).drop("l_linenumber"))
     p = read(spark, d, "part", "p_partkey", "p_brand")
     c = read(spark, d, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
-    s = (o.join(l1, o.o_orderkey == l1.l_orderkey, "left")
+    # A section is an order that has a first line (its course and teacher).
+    s = (o.join(l1, o.o_orderkey == l1.l_orderkey, "inner")
          .join(p, F.col("l_partkey") == p.p_partkey, "left")
          .join(c, o.o_custkey == c.c_custkey, "left"))
     hour = (F.lit(7) + F.lit(2) * (F.dayofmonth("o_orderdate") % 7)).cast("int")
@@ -229,7 +230,7 @@ sec AS (
          CAST(7 + 2 * (dayofmonth(o.o_orderdate) % 7) AS INTEGER) AS hora_inicio_promedio,
          CASE WHEN o.o_orderstatus = 'P' THEN 'True' ELSE 'False' END AS conflicto_recurso_detectado
   FROM orders o
-  LEFT JOIN (SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem WHERE l_linenumber = 1) l
+  JOIN (SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem WHERE l_linenumber = 1) l
     ON o.o_orderkey = l.l_orderkey
   LEFT JOIN part p ON l.l_partkey = p.p_partkey
   LEFT JOIN customer c ON o.o_custkey = c.c_custkey
