@@ -165,7 +165,9 @@ def _rounds(state: _State, candidates: DataFrame, course_cols: list[str], teache
             live = live.filter(F.col(rk) < _struct_literal(_nth(done, rk, max_sections), rk_type))
     live = materialize(live, "live")
 
-    while state.rounds < max_rounds and not live.isEmpty():
+    # Every round on a non-empty live set accepts at least one section (the
+    # first live candidate overall), so an empty round means nothing is live.
+    while state.rounds < max_rounds:
         state.rounds += 1
         t0 = time.perf_counter()
         courses = state.courses
@@ -191,7 +193,11 @@ def _rounds(state: _State, candidates: DataFrame, course_cols: list[str], teache
                    .withColumn("round", F.lit(state.rounds))
                    .drop("_left", "_remaining"))
         winners = materialize(winners, "winners")
-        state.n_accepted += winners.count()
+        n_new = winners.count()
+        if n_new == 0:
+            state.rounds -= 1
+            break
+        state.n_accepted += n_new
         state.accepted.append(winners)
         if len(state.accepted) >= 16:
             state.accepted = [materialize(_union(state.accepted), "accepted")]
