@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from semestra.session import ensure_checkpoint_dir, materialize
+from semestra.session import drop_written, ensure_checkpoint_dir, materialize
 
 log = logging.getLogger(__name__)
 
@@ -84,7 +84,8 @@ def greedy_select(candidates: DataFrame, course_cols: Sequence[str], teacher_col
     rk = rank_col
     # The candidate pipeline runs once: written with the primary rank key as a
     # top-level column, so prefix filters skip Parquet row groups by min/max.
-    candidates = materialize(candidates.withColumn("_s", F.col(rk)["s"]), "candidates")
+    scratch: list[str] = []
+    candidates = materialize(candidates.withColumn("_s", F.col(rk)["s"]), "candidates", scratch)
     s_col = F.col("_s")
     thresholds: list[float | None] = [None]
     if max_sections is not None:
@@ -96,8 +97,9 @@ def greedy_select(candidates: DataFrame, course_cols: Sequence[str], teacher_col
         thresholds = sorted(set(qs)) + [None]
 
     courses = materialize(candidates.groupBy(*course_cols)
-                          .agg(F.max(demand_col).cast("long").alias("_remaining")), "courses")
-    state = _State(courses)
+                          .agg(F.max(demand_col).cast("long").alias("_remaining")), "courses",
+                          scratch)
+    state = _State(courses, scratch)
     prev = None
     for t in thresholds:
         # Only the new slice of the prefix is written; decisions already made
@@ -118,8 +120,10 @@ def greedy_select(candidates: DataFrame, course_cols: Sequence[str], teacher_col
 
     if not state.accepted:
         empty = candidates.limit(0).withColumn("seats", F.lit(0).cast("long")) \
-            .withColumn("round", F.lit(0))
-        return empty.withColumn("_ord", F.lit(0)), state.rounds
+            .withColumn("round", F.lit(0)).withColumn("_ord", F.lit(0))
+        empty = materialize(empty.drop("_s"), "timetable")
+        drop_written(spark, scratch)
+        return empty, state.rounds
     acc = _union(state.accepted)
     if max_sections is not None:
         acc = acc.orderBy(rk).limit(max_sections)
@@ -129,7 +133,11 @@ def greedy_select(candidates: DataFrame, course_cols: Sequence[str], teacher_col
     acc = acc.join(written.select(*payload), rk)
     # At most max_sections rows (or the number of room-slots without a cap),
     # so one ordered window over them is bounded.
-    acc = acc.withColumn("_ord", F.row_number().over(Window.orderBy(rk)))
+    acc = acc.withColumn("_ord", F.row_number().over(Window.orderBy(rk))).drop("_s")
+    # The result (at most N rows, or one per room-slot) is written on its own;
+    # the candidate table and round states are scratch and are deleted.
+    acc = materialize(acc, "timetable")
+    drop_written(spark, scratch)
     return acc, state.rounds
 
 
@@ -137,8 +145,9 @@ class _State:
     """Decisions so far: accepted sections (written tables), remaining demand
     per course, rounds run, and the written candidate slices."""
 
-    def __init__(self, courses: DataFrame):
+    def __init__(self, courses: DataFrame, scratch: list[str]):
         self.courses = courses
+        self.scratch = scratch
         self.accepted: list[DataFrame] = []
         self.payload: list[DataFrame] = []
         self.n_accepted = 0
@@ -163,7 +172,7 @@ def _rounds(state: _State, candidates: DataFrame, course_cols: list[str], teache
                 .join(done.select(*rs_keys), on=rs_keys, how="left_anti"))
         if max_sections is not None and state.n_accepted >= max_sections:
             live = live.filter(F.col(rk) < _struct_literal(_nth(done, rk, max_sections), rk_type))
-    live = materialize(live, "live")
+    live = materialize(live, "live", state.scratch)
 
     # Every round on a non-empty live set accepts at least one section (the
     # first live candidate overall), so an empty round means nothing is live.
@@ -192,7 +201,7 @@ def _rounds(state: _State, candidates: DataFrame, course_cols: list[str], teache
                    .withColumn("seats", F.least(F.col("_left"), F.col(capacity_col).cast("long")))
                    .withColumn("round", F.lit(state.rounds))
                    .drop("_left", "_remaining"))
-        winners = materialize(winners, "winners")
+        winners = materialize(winners, "winners", state.scratch)
         n_new = winners.count()
         if n_new == 0:
             state.rounds -= 1
@@ -200,14 +209,14 @@ def _rounds(state: _State, candidates: DataFrame, course_cols: list[str], teache
         state.n_accepted += n_new
         state.accepted.append(winners)
         if len(state.accepted) >= 16:
-            state.accepted = [materialize(_union(state.accepted), "accepted")]
+            state.accepted = [materialize(_union(state.accepted), "accepted", state.scratch)]
 
         taken = winners.groupBy(*course_cols).agg(F.sum("seats").alias("_taken"))
         state.courses = materialize(
             courses.join(taken, on=course_cols, how="left")
             .select(*course_cols,
                     (F.col("_remaining") - F.coalesce(F.col("_taken"), F.lit(0)))
-                    .alias("_remaining")), "courses")
+                    .alias("_remaining")), "courses", state.scratch)
         served = state.courses.filter(F.col("_remaining") <= 0).select(*course_cols)
         live = (live.join(winners.select(*ts_keys), on=ts_keys, how="left_anti")
                 .join(winners.select(*rs_keys), on=rs_keys, how="left_anti")
@@ -215,7 +224,7 @@ def _rounds(state: _State, candidates: DataFrame, course_cols: list[str], teache
         if max_sections is not None and state.n_accepted >= max_sections:
             nth = _nth(_union(state.accepted), rk, max_sections)
             live = live.filter(F.col(rk) < _struct_literal(nth, rk_type))
-        live = materialize(live, "live")
+        live = materialize(live, "live", state.scratch)
         log.info("greedy round %d: accepted %d in %.2fs", state.rounds, state.n_accepted,
                  time.perf_counter() - t0)
 

@@ -76,7 +76,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
     return F.broadcast(df) if n <= max_rows else df
 
 
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
+def materialize(df: DataFrame, name: str = "t", written: list[str] | None = None) -> DataFrame:
     """Cut lineage by writing ``df`` as Parquet under the cluster's checkpoint
     folder and reading it back.
 
@@ -88,4 +88,20 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/semestra-{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    if written is not None:
+        written.append(path)
     return spark.read.parquet(path)
+
+
+def drop_written(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables written by ``materialize`` once nothing reads
+    them (through the Hadoop file system of the path, so it works for any
+    shared store the checkpoint folder lives on). Best effort."""
+    try:
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for p in paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+    except Exception:  # noqa: BLE001 - cleanup must never fail the job
+        pass
