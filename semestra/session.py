@@ -42,23 +42,21 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
+    """Return the shared folder for intermediate tables (``spark.checkpoint.dir``).
 
-    A cluster names it; we only set our own when it is unset (local runs and
-    tests), under a fresh temporary folder.
+    A cluster names it. Only a local session, whose executors are threads of
+    the driver, may fall back to a fresh temporary folder; anywhere else an
+    unset folder is an error, since executors would write to their own disks.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
+    current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
         return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="semestra-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
-    sc.setCheckpointDir(conf_dir)
-    return sc.getCheckpointDir() or conf_dir
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    current = tempfile.mkdtemp(prefix="semestra-ckpt-")
+    spark.conf.set("spark.checkpoint.dir", current)
+    return current
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
@@ -96,12 +94,9 @@ def materialize(df: DataFrame, name: str = "t", written: list[str] | None = None
 def drop_written(spark: SparkSession, paths: list[str]) -> None:
     """Delete scratch tables written by ``materialize`` once nothing reads
     them (through the Hadoop file system of the path, so it works for any
-    shared store the checkpoint folder lives on). Best effort."""
-    try:
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for p in paths:
-            path = jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(conf).delete(path, True)
-    except Exception:  # noqa: BLE001 - cleanup must never fail the job
-        pass
+    shared store the checkpoint folder lives on)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
