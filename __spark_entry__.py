@@ -21,6 +21,14 @@ from semestra.sources import driver as drv
 from semestra.sources.files import parse_events
 from semestra.sources.store import upsert_latest
 
+try:
+    from semestra.llm import queries as llm
+except ModuleNotFoundError as missing:
+    # The training-data package may be taken out, with the pipeline file.
+    if missing.name not in ("semestra.llm", "corpus_pipeline"):
+        raise
+    llm = None
+
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
 
 
@@ -233,6 +241,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "hour_bias_chart": q_hour_bias_chart,
         "timetable": q_timetable,
         "schedule_kpis": q_schedule_kpis,
+        **(llm.QUERIES if llm else {}),
     }
 
 
@@ -503,4 +512,5 @@ WITH last AS (
 )
 SELECT user_id, event_id, event_type, value FROM last
 WHERE rn = 1 AND event_type <> 'error'""",
+        **(llm.ORACLES if llm else {}),
     }
