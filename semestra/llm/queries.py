@@ -78,8 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 } | {"pipeline": corpus_pipeline.run}
 
 _COMPONENTS = """
-both AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
-reach(a, b) AS (SELECT a, b FROM both UNION SELECT r.a, l.b FROM reach r JOIN both l ON r.b = l.a),
+adj AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM adj UNION SELECT r.a, l.b FROM reach r JOIN adj l ON r.b = l.a),
 comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a)"""
 
 ORACLES = {
@@ -91,7 +91,7 @@ WITH RECURSIVE w AS (
 ),
 s AS (
   SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] ELSE list_distinct(list_transform(
-           range(1, greatest(len(ws) - 4, 1) + 1), i -> array_to_string(ws[i:i + 4], ' '))) END AS items
+           range(1, greatest(len(ws) - 4, 1) + 1), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS items
   FROM w
 ),
 e AS (SELECT doc_id, unnest(items) AS item FROM s),
@@ -128,14 +128,14 @@ FROM b JOIN f ON b.d = f.d AND f.prefix = b.h >> ({sharding.BITS} - b.d)""",
     "op7_embedding_dedup": """
 WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ),
 links AS (
   SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id < y.vec_id AND len(x.e) = len(y.e)
   WHERE list_cosine_similarity(x.e, y.e) >= 0.95
 ),""" + _COMPONENTS + """,
-n AS (SELECT a, count(*) AS n FROM both GROUP BY a)
+n AS (SELECT a, count(*) AS n FROM adj GROUP BY a)
 SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(c, vec_id)) AS component_id,
        vec_id = least(vec_id, coalesce(c, vec_id)) AS kept
 FROM embeddings LEFT JOIN comp ON comp.a = vec_id LEFT JOIN n ON n.a = vec_id""",
@@ -152,7 +152,7 @@ p AS (
 ),
 q AS (
   SELECT *, list_sort(list_filter(string_split(query, '&'),
-              x -> x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) AS kept
+              lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) AS kept
   FROM p
 ),
 c AS (

@@ -68,7 +68,7 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
 def _positions(key: Column, blocks: int) -> tuple[Column, list[Column]]:
     """The block of a key, and one bit in each of the block's eight words."""
     bits = F.xxhash64(key, F.lit("bits"))
-    words = [F.shiftleft(F.lit(1).cast("long"), F.shiftright(bits, 6 * j).bitwiseAND(63).cast("int")) for j in range(8)]
+    words = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(bits, 6 * j).bitwiseAND(63).cast("int")) for j in range(8)]
     return F.pmod(F.xxhash64(key), F.lit(blocks)), words
 
 
