@@ -7,11 +7,15 @@ and a bin keeps the least value of the first round that reaches it; from round
 t on, round t+j throws every shingle into bin j, so that after 2t rounds every
 coordinate is filled. Bands of ``rows`` coordinates give bucket keys.
 
-Documents of equal sets are one class from the start. Inside a bucket, classes
-are compared with a few leaders at a time; classes already in one component are
-not compared again, so a bucket of m near copies costs about m comparisons and
-not m^2. Leaders go on until every bucket is of one component or every pair in
-it has been compared on full sets: no cap, no sampling.
+Documents of equal sets are one class from the start. Shingles that stand in
+one class only can't be in any intersection, so a class's other shingles bound
+its overlap with any class; pairs that can't reach the threshold by this bound
+are never formed. Inside a bucket, classes are compared with a few leaders at a
+time, those with the fewest such shingles of their own first (the text that
+others were copied from comes before its altered copies); classes already in
+one component are not compared again, so a bucket of m near copies costs about
+m comparisons and not m^2. Leaders go on until every bucket is of one component
+or every pair in it has been compared: no cap, no sampling.
 
 Defined results: null or empty text, or text without words: no shingle, linked
 with nothing, its own component. Rows with a null doc_id take no part: their
@@ -137,24 +141,30 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS,
     sets = materialize(shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), words)
                        .distinct().where(F.size("items") > 0), "sets", written)
 
-    bucket = bucket.withColumn("comp", F.col("node")).withColumn("done", F.lit(None).cast("long"))
+    own = (sets.select("node", F.explode("items").alias("item")).groupBy("item")
+           .agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("m")).where("m = 1")
+           .groupBy("node").agg(F.count(F.lit(1)).alias("own")))
+    bucket = (bucket.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+              .where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
+              .withColumn("comp", F.col("node")))
     links = tested = labels = None
     turn = 0
     while True:
-        # Buckets with nothing left to compare: one component after the last leader.
-        rest = bucket.where(F.col("done").isNull() | (F.col("node") > F.col("done")))
-        open_ = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
-            .where("lo != hi").select("key")
-        live = materialize(rest.join(open_, "key").drop("done"), "live", written)
+        # Buckets of one component have nothing left to compare.
+        open_ = bucket.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
+        live = materialize(bucket.join(open_, "key"), "live", written)
         if live.isEmpty():
             break
         most = LEADERS[min(turn, len(LEADERS) - 1)]
         turn += 1
-        first = (live.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("node")))
-                 .where(F.col("r") <= most))
-        lead = first.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        size_ok = (100 * F.least("na", "n") >= percent * F.greatest("na", "n"))
-        pairs = (live.join(lead, "key").where((F.col("node") > F.col("a")) & (F.col("comp") != F.col("ca")) & size_ok)
+        order = Window.partitionBy("key").orderBy("own", "node")
+        first = live.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
+        lead = materialize(first.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("own").alias("oa"),
+                                        F.col("comp").alias("ca")), "lead", written)
+        later = (F.col("own") > F.col("oa")) | ((F.col("own") == F.col("oa")) & (F.col("node") > F.col("a")))
+        bound = F.least(F.col("na") - F.col("oa"), F.col("n") - F.col("own"))
+        reachable = (100 + percent) * bound >= percent * (F.col("na") + F.col("n"))
+        pairs = (live.join(lead, "key").where(later & (F.col("comp") != F.col("ca")) & reachable)
                  .select("a", F.col("node").alias("b")).distinct())
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -164,10 +174,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS,
         links = found if links is None else links.union(found)
         links = materialize(links, "links", written)
         labels = materialize(connected_components(links), "labels", written)
-        reached = first.groupBy("key").agg(F.max("node").alias("done"))
-        bucket = (live.drop("comp").join(labels, "node", "left")
-                  .select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
-                  .join(reached, "key"))
+        # Leaders have met their whole bucket: they leave it.
+        bucket = (live.drop("comp").join(lead.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti")
+                  .join(labels, "node", "left").select("key", "node", "n", "own", F.coalesce("component", "node").alias("comp")))
     named = classes.select(*sig, "node")
     if labels is not None:
         named = named.join(labels, "node", "left").select(*sig, F.coalesce("component", "node").alias("c"))
