@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semestra.llm.hashing import mix, seeds, text_chunks, word_hashes_at
+from semestra.session import materialize
 
 MIN_RUN = 16
 MIN_UNIT = 4
@@ -131,6 +132,9 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     (start, end) cut out, as characters of the original text."""
     again = (document_units(docs).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first"))
              .where("n > 1").drop("n"))
+    # Written, so that both sides of the join are dealt anew and a unit that
+    # stands in many documents can be split.
+    again = materialize(again, "repeated")
     found = document_units(docs).join(again, ["h1", "h2"])
     gathered = found.groupBy("rank", "rid").agg(
         F.collect_set(F.struct("no", "start", "end", "words", "h1", "h2", "first")).alias("found"))
