@@ -144,10 +144,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS,
     own = (sets.select("node", F.explode("items").alias("item")).groupBy("item")
            .agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("m")).where("m = 1")
            .groupBy("node").agg(F.count(F.lit(1)).alias("own")))
-    bucket = (bucket.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    # Null where a doc_id has several texts: such a class answers in every bucket.
+    bands_of = classes.groupBy("node").agg(F.when(F.count(F.lit(1)) == 1, F.min("bands")).alias("bands"))
+    bucket = (bucket.join(bands_of, "node").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
               .where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
               .withColumn("comp", F.col("node")))
-    links = tested = labels = None
+    links = labels = None
     turn = 0
     while True:
         # Buckets of one component have nothing left to compare.
@@ -160,23 +162,22 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS,
         order = Window.partitionBy("key").orderBy("own", "node")
         first = live.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
         lead = materialize(first.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("own").alias("oa"),
-                                        F.col("comp").alias("ca")), "lead", written)
+                                        F.col("comp").alias("ca"), F.col("bands").alias("ba")), "lead", written)
         later = (F.col("own") > F.col("oa")) | ((F.col("own") == F.col("oa")) & (F.col("node") > F.col("a")))
         bound = F.least(F.col("na") - F.col("oa"), F.col("n") - F.col("own"))
         reachable = (100 + percent) * bound >= percent * (F.col("na") + F.col("n"))
-        pairs = (live.join(lead, "key").where(later & (F.col("comp") != F.col("ca")) & reachable)
-                 .select("a", F.col("node").alias("b")).distinct())
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        # Two classes may share many buckets: the first of them answers for the pair.
+        here = F.coalesce(F.get(F.array_intersect("ba", "bands"), 0) == F.col("key"), F.lit(True))
+        pairs = (live.join(lead, "key").where(later & (F.col("comp") != F.col("ca")) & reachable & here)
+                 .select("a", F.col("node").alias("b")))
         pairs = materialize(pairs, "pairs", written)
-        tested = pairs if tested is None else tested.union(pairs)
         found = _verified(pairs, sets, percent)
         links = found if links is None else links.union(found)
         links = materialize(links, "links", written)
         labels = materialize(connected_components(links), "labels", written)
         # Leaders have met their whole bucket: they leave it.
         bucket = (live.drop("comp").join(lead.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti")
-                  .join(labels, "node", "left").select("key", "node", "n", "own", F.coalesce("component", "node").alias("comp")))
+                  .join(labels, "node", "left").select("key", "node", "n", "own", "bands", F.coalesce("component", "node").alias("comp")))
     named = classes.select(*sig, "node")
     if labels is not None:
         named = named.join(labels, "node", "left").select(*sig, F.coalesce("component", "node").alias("c"))
