@@ -46,7 +46,7 @@ class Automaton:
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str):
         size = max(vocab.values()) + 1
-        self.ids, self.size, self.end = vocab, size, end
+        self.size, self.end = size, end
         self.reach: dict[str, int] = {}  # first four symbols -> length of the longest label
         for label in vocab:
             word = label.removesuffix(end)
@@ -57,14 +57,19 @@ class Automaton:
         self.copied = [-1] * size    # the state is that of this token then
         self.cut: dict[int, int] = {}  # state * size + arc -> merge that removed it
         self.table: dict[int, bool] = {}
-        made = set()
+        self.dead: set[int] = set()  # tokens that no text reaches
+        made: set[int] = set()
         for n, (left, right) in enumerate(merges):
             self._gadget(n, vocab[left], vocab[right], vocab[left + right], made)
+        self.ids = {t: i for t, i in vocab.items() if i not in self.dead}
 
     def _gadget(self, n: int, u: int, v: int, uv: int, made: set[int]) -> None:
         if uv in made or uv in (u, v) or self.born[u] >= n or self.born[v] >= n:
             raise ValueError("merges must make new tokens of known ones")
         made.add(uv)
+        if u in self.dead or v in self.dead or not self._resolve(u, v):  # earlier merges keep u and v apart: no such arc
+            self.dead.add(uv)
+            return
         self.cut[u * self.size + v] = n
         self.born[uv], self.gate[uv], self.copied[uv] = n, u, v
 

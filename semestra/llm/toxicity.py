@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,8 +35,9 @@ from pyspark.sql import functions as F
 SAMPLE = 4000  # labelled documents of each class at most
 GRADES = 4
 MIN_DOCS = 3
+MIN_SHARE = 0.01  # of a class's documents; rarer features are chance or copies
 MAX_FEATURES = 50_000
-Z = 3.0  # standard errors by which the classes must differ in a feature
+Z = 4.0  # standard errors by which the classes must differ in a feature
 REJECT = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -53,6 +55,12 @@ def text_features(text: str) -> dict[str, float]:
     return {f: 1 + math.log(n) for f, n in counts.items()}
 
 
+def copy_key(text: str) -> int:
+    """Least hash of the five-word runs: near copies mostly share it."""
+    words = text.split()
+    return min(zlib.crc32(" ".join(words[i:i + 5]).encode()) for i in range(max(1, len(words) - 4)))
+
+
 @dataclass
 class OrdinalModel:
     """Shared weights of the features that have one, and ordered thresholds."""
@@ -84,7 +92,7 @@ def grades(features: list[dict[str, float]], toxic: np.ndarray) -> tuple[np.ndar
     z = {}
     for f in seen[0].keys() | seen[1].keys():
         a, b = seen[1][f], seen[0][f]
-        if a + b >= MIN_DOCS:
+        if a + b >= MIN_DOCS and max(a / n1, b / n0) >= MIN_SHARE:
             p, q, m = a / n1, b / n0, (a + b) / (n0 + n1)
             z[f] = (p - q) / math.sqrt(m * (1 - m) * (1 / n0 + 1 / n1) + 1e-12)
     chosen = sorted((f for f in z if abs(z[f]) >= Z), key=lambda f: (-abs(z[f]), f))[:MAX_FEATURES]
@@ -94,13 +102,17 @@ def grades(features: list[dict[str, float]], toxic: np.ndarray) -> tuple[np.ndar
     return np.where(toxic == 1, 1 + (held[:, None] > cuts).sum(axis=1), 0), chosen
 
 
-def fit(texts: list[str], toxic: list[int], rounds: int = 300, l2: float = 1e-3) -> OrdinalModel:
+def fit(texts: list[str], toxic: list[int], rounds: int = 400, l2: float = 1e-4) -> OrdinalModel:
     """Gradient descent with Adam on the cumulative-link likelihood; the classes
     weigh the same. Thresholds are a base and positive steps, so stay ordered."""
     y = np.array(toxic, np.int64)
     empty = OrdinalModel({}, np.full(GRADES - 1, 50.0))
     if not len(y) or y.min() == y.max():
         return empty
+    # Near copies count once, so that their words don't pass for markers.
+    seen: dict[int, int] = {}
+    first = [r for r, k in enumerate(map(copy_key, texts)) if seen.setdefault(k, r) == r]
+    texts, y = [texts[r] for r in first], y[first]
     features = [text_features(t) for t in texts]
     grade, names = grades(features, y)
     at = {f: i for i, f in enumerate(names)}
