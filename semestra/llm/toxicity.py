@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE = 4000  # labelled documents of each class at most
+SAMPLE = 2000  # labelled documents of each class at most
 GRADES = 4
 MIN_DOCS = 3
 MIN_SHARE = 0.01  # of a class's documents; rarer features are chance or copies
@@ -83,23 +83,30 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(np.asarray(scores)[:, None] - self.thresholds, -50, 50)))
 
 
-def grades(features: list[dict[str, float]], toxic: np.ndarray) -> tuple[np.ndarray, list[str]]:
-    """Grade of every labelled document, and the features worth a weight."""
-    seen = [Counter(), Counter()]
-    for x, y in zip(features, toxic):
-        seen[y].update(x.keys())
+def marked_features(texts: list[str], toxic: np.ndarray) -> tuple[list[str], set[str]]:
+    """The features worth a weight, and those of them that mark toxic texts.
+    Only counts of documents are held, text after text."""
+    seen: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+    for text, y in zip(texts, toxic):
+        seen[y].update({f for w in set(_WORD.findall(text.lower())) for f in word_features(w)})
     n0, n1 = max(1, int((toxic == 0).sum())), max(1, int(toxic.sum()))
     z = {}
     for f in seen[0].keys() | seen[1].keys():
         a, b = seen[1][f], seen[0][f]
         if a + b >= MIN_DOCS and max(a / n1, b / n0) >= MIN_SHARE:
             p, q, m = a / n1, b / n0, (a + b) / (n0 + n1)
-            z[f] = (p - q) / math.sqrt(m * (1 - m) * (1 / n0 + 1 / n1) + 1e-12)
-    chosen = sorted((f for f in z if abs(z[f]) >= Z), key=lambda f: (-abs(z[f]), f))[:MAX_FEATURES]
+            score = (p - q) / math.sqrt(m * (1 - m) * (1 / n0 + 1 / n1) + 1e-12)
+            if abs(score) >= Z:
+                z[f] = score
+    chosen = sorted(z, key=lambda f: (-abs(z[f]), f))[:MAX_FEATURES]
     markers = {f for f in chosen if z[f] > 0 and seen[1][f] >= MIN_DOCS and seen[0][f] / n0 <= 0.01 * seen[1][f] / n1}
-    held = np.array([sum(f in markers for f in x) for x in features])
-    cuts = np.quantile(held[toxic == 1], np.arange(1, GRADES - 1) / (GRADES - 1)) if toxic.any() else np.zeros(GRADES - 2)
-    return np.where(toxic == 1, 1 + (held[:, None] > cuts).sum(axis=1), 0), chosen
+    return chosen, markers
+
+
+def grades(held: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Grade of every labelled document from the number of markers it holds."""
+    cuts = np.quantile(held[toxic == 1], np.arange(1, GRADES - 1) / (GRADES - 1))
+    return np.where(toxic == 1, 1 + (held[:, None] > cuts).sum(axis=1), 0)
 
 
 def fit(texts: list[str], toxic: list[int], rounds: int = 400, l2: float = 1e-4) -> OrdinalModel:
@@ -113,12 +120,16 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 400, l2: float = 1e-4)
     seen: dict[int, int] = {}
     first = [r for r, k in enumerate(map(copy_key, texts)) if seen.setdefault(k, r) == r]
     texts, y = [texts[r] for r in first], y[first]
-    features = [text_features(t) for t in texts]
-    grade, names = grades(features, y)
+    names, markers = marked_features(texts, y)
     at = {f: i for i, f in enumerate(names)}
-    cells = [(r, at[f], v) for r, x in enumerate(features) for f, v in x.items() if f in at]
-    if not cells:
+    held, cells = np.zeros(len(y)), []
+    for r, text in enumerate(texts):
+        found = {f: v for f, v in text_features(text).items() if f in at}
+        held[r] = len(markers & found.keys())
+        cells += [(r, at[f], v) for f, v in found.items()]
+    if not cells or y.min() == y.max():
         return empty
+    grade = grades(held, y)
     rows, cols, vals = (np.array(c) for c in zip(*cells))
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     params = np.zeros(len(names) + GRADES - 1)
