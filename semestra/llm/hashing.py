@@ -22,7 +22,7 @@ _BYTE[ord("A"):ord("Z") + 1] = _BYTE[ord("a"):ord("z") + 1]
 _COEF = _RNG.integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-CHUNK_BYTES = 4 << 20  # bytes hashed at a time: bounds the working arrays
+CHUNK_BYTES = 2 << 20  # bytes hashed at a time: bounds the working arrays
 
 
 def mix(x: np.ndarray) -> np.ndarray:
