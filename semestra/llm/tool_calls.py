@@ -1,16 +1,20 @@
 """Tool calls linked to their results, in dependency order, as canonical JSON.
 
 Calls and results meet in a hash join on (conversation, call id). A call may
-name earlier calls whose results it uses; levels come from rounds that settle
-every call whose dependencies are settled (Kahn's order), each round a join and
-an aggregate, so a conversation of any size is never gathered. Arguments are
+name calls whose results it uses, and (level, turn, call_id) is a topological
+order of a conversation's calls. Where calls name only calls that stand before
+them, (turn, call_id) is one already and every level is 0, however long the
+conversation. Where a call names a later one, levels come from rounds that
+settle every call whose dependencies are settled (Kahn's order), each round a
+join, so a conversation is never gathered. Arguments are
 checked against the tool's schema (a subset of JSON Schema: type, required,
 properties, enum, minimum, maximum, minLength, additionalProperties).
 
 Defined results: repeated calls or results of one identifier collapse to the
 least (turn, content), with the number of rows kept in ``copies``; a call
-without result is 'pending', a result without call 'orphan'; a call in a cycle,
-or behind one, or naming an unknown call, has a null level and an error. Null
+without result is 'pending', a result without call 'orphan'; a call in a cycle
+or behind one has a null level and an error, one that names an unknown call an
+error. Null
 identifiers link with nothing and are returned as errors. Arguments that are
 null or no JSON object are invalid. Other columns are ignored.
 """
@@ -24,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semestra.session import drop_written, materialize
+from semestra.session import materialize
 
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list}
 
@@ -60,26 +64,39 @@ def schema_errors(value: Any, schema: dict, at: str = "$") -> list[str]:
 
 
 def _levels(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id, level of every call whose dependencies settle."""
-    spark = calls.sparkSession
+    """conv_id, call_id, level (null if unsettled) and unknown (whether the
+    call names an unknown one) of every call."""
     written: list[str] = []
-    deps = calls.select("conv_id", "call_id", F.explode(F.array_distinct("after")).alias("dep"))
-    open_ = materialize(deps, "deps", written)
-    known = calls.select("conv_id", "call_id")
-    settled = new = materialize(known.join(deps.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti")
-                                .withColumn("level", F.lit(0)), "levels")
-    level = 0
-    while not open_.isEmpty() and not new.isEmpty():
+    key = ["conv_id", "call_id"]
+    deps = calls.select("conv_id", "call_id", "turn", F.explode(F.array_distinct("after")).alias("dep"))
+    there = calls.select("conv_id", F.col("call_id").alias("dep"), F.col("turn").alias("dep_turn"), F.lit(True).alias("is_known"))
+    deps = materialize(deps.join(there, ["conv_id", "dep"], "left"), "deps", written)
+    unknown = deps.where("is_known IS NULL").select(*key, F.lit(True).alias("unknown")).distinct()
+    before = F.struct("dep_turn", "dep") < F.struct("turn", "call_id")
+    tangled = deps.where("is_known").where(~before).select("conv_id").distinct()
+    open_ = materialize(deps.where("is_known").join(tangled, "conv_id", "left_semi").select(*key, "dep"), "open", written)
+    out = calls.select(*key).join(unknown, key, "left").withColumn("unknown", F.coalesce("unknown", F.lit(False)))
+    if open_.isEmpty():
+        return out.withColumn("level", F.lit(0))
+    waiting = open_.select(*key).distinct().withColumn("waits", F.lit(True))
+    new = calls.select(*key).join(tangled, "conv_id", "left_semi").join(waiting, key, "left_anti")
+    settled, level, first = None, 0, waiting
+    while not open_.isEmpty():
+        left = open_.join(new.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_anti").select(*key, "dep")
+        left = materialize(left, "open", written)
+        new = materialize(open_.select(*key).distinct().join(left.select(*key).distinct(), key, "left_anti"), "settled")
+        if new.isEmpty():
+            break
         level += 1
-        left = open_.join(new.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_anti")
-        left = materialize(left.select("conv_id", "call_id", "dep"), "deps", written)
-        new = open_.select("conv_id", "call_id").distinct().join(
-            left.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level))
-        new = materialize(new, "levels")
-        settled, open_ = settled.union(new), left
-    settled = materialize(settled, "settled")
-    drop_written(spark, written)
-    return settled
+        part = new.withColumn("level", F.lit(level))
+        settled, open_ = part if settled is None else settled.union(part), left
+    first = materialize(first, "first")
+    out = out.join(first, key, "left")
+    if settled is not None:
+        out = out.join(settled, key, "left")
+    else:
+        out = out.withColumn("level", F.lit(None).cast("int"))
+    return out.select(*key, "unknown", F.when(F.col("waits").isNull(), 0).otherwise(F.col("level")).alias("level"))
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -102,9 +119,9 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
 
     @F.pandas_udf("struct<valid:boolean,errors:array<string>,record:string>")
     def finish(conv_id: pd.Series, call_id: pd.Series, name: pd.Series, arguments: pd.Series, content: pd.Series,
-               status: pd.Series, level: pd.Series) -> pd.DataFrame:
+               status: pd.Series, level: pd.Series, unknown: pd.Series) -> pd.DataFrame:
         out = []
-        for conv, cid, tool, text, said, state, lv in zip(conv_id, call_id, name, arguments, content, status, level):
+        for conv, cid, tool, text, said, state, lv, lost in zip(conv_id, call_id, name, arguments, content, status, level, unknown):
             has = lambda x: x is not None and x == x  # noqa: E731  neither null nor NaN
             conv, cid, tool, said = (x if has(x) else None for x in (conv, cid, tool, said))
             record: dict[str, Any] = {"id": cid, "result": said}
@@ -122,12 +139,14 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
                     errors += schema_errors(args, schemas[tool])
                 if not has(lv) and cid is not None and has(conv):
                     errors.append("$: unsettled dependency")
+                if lost:
+                    errors.append("$: unknown dependency")
                 record |= {"arguments": args, "name": tool}
             out.append((not errors and state != "orphan", errors, canonical(record)))
         return pd.DataFrame(out, columns=["valid", "errors", "record"])
 
     done = linked.withColumn("f", finish(F.col("conv_id").cast("string"), "call_id", "name", "arguments", "content",
-                                         "status", F.col("level").cast("double")))
+                                         "status", F.col("level").cast("double"), F.coalesce("unknown", F.lit(False))))
     return done.select(*key, F.coalesce("turn", "result_turn").alias("turn"), "name", "level", "status",
                        "f.valid", "f.errors", "copies", "f.record")
 
