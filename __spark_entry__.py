@@ -126,8 +126,10 @@ def q_enrolment_trend(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_enrolment_trend_pivot(spark: SparkSession, d: str) -> DataFrame:
-    trend = insights.active_enrolment_trend(_students(spark, d))
-    return insights.enrolment_trend_pivot(trend, drv.SEGMENTS)
+    students = _students(spark, d)
+    careers = sorted(r.carrera for r in drv.read(spark, d, "customer", F.col("c_mktsegment").alias("carrera"))
+                     .where("carrera IS NOT NULL").distinct().collect())
+    return insights.enrolment_trend_pivot(insights.active_enrolment_trend(students), careers)
 
 
 def q_hour_bias(spark: SparkSession, d: str) -> DataFrame:

@@ -48,6 +48,16 @@ def _comma_split(text: Column, strip_pattern: str | None = None) -> Column:
     return F.filter(parts, lambda x: x != F.lit(""))
 
 
+def _json_list(t: Column) -> tuple[Column, Column]:
+    """(the list, if the whole text is a JSON list; whether the whole text is
+    one JSON value). Read as the only element of a list around it, so that
+    anything after a first value shows."""
+    names = T.ArrayType(T.StringType())
+    inside = F.from_json(F.concat(F.lit("["), t, F.lit("]")), names)
+    whole = F.coalesce(F.size(inside) == 1, F.lit(False)) & (F.trim(t) != "")
+    return F.when(whole, F.from_json(t, names)), whole
+
+
 def parse_name_list(text) -> Column:
     """text holding a list of names.
 
@@ -55,8 +65,7 @@ def parse_name_list(text) -> Column:
     anything else -> comma split, trimmed, empties dropped.
     """
     t = _c(text)
-    as_list = F.from_json(t, T.ArrayType(T.StringType()))
-    is_json = F.get_json_object(t, "$").isNotNull()
+    as_list, is_json = _json_list(t)
     empty = F.array().cast("array<string>")
     return (F.when(t.isNull(), empty)
             .when(as_list.isNotNull(), as_list)
@@ -68,7 +77,7 @@ def parse_name_list_loose(text) -> Column:
     """F3 (serving-side parser) with D19 applied: empty -> []; JSON list -> the
     list; else strip ``[ ] " '``, comma split; always cleaned with F2."""
     t = _c(text)
-    as_list = F.from_json(t, T.ArrayType(T.StringType()))
+    as_list, _ = _json_list(t)
     raw = (F.when(t.isNull() | (F.trim(t) == ""), F.array().cast("array<string>"))
            .when(as_list.isNotNull(), as_list)
            .otherwise(_comma_split(t, r"[\[\]\"']")))

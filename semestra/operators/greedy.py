@@ -42,9 +42,9 @@ log = logging.getLogger(__name__)
 
 
 def rank_key(score_col: str, key_cols: Sequence[str]) -> F.Column:
-    """Strict total order (D13): score descending, then a hash of the keys
+    """Strict total order (D13): score descending, null scores last, then a hash of the keys
     (spreads ties so rounds stay few), then the keys themselves."""
-    return F.struct((-F.col(score_col).cast("double")).alias("s"),
+    return F.struct(F.coalesce(-F.col(score_col).cast("double"), F.lit(float("inf"))).alias("s"),
                     F.xxhash64(*key_cols).alias("h"),
                     *[F.col(c).alias(f"k{i}") for i, c in enumerate(key_cols)])
 
@@ -176,7 +176,9 @@ def _rounds(state: _State, candidates: DataFrame, course_cols: list[str], teache
 
     # Every round on a non-empty live set accepts at least one section (the
     # first live candidate overall), so an empty round means nothing is live.
-    while state.rounds < max_rounds:
+    while True:
+        if state.rounds >= max_rounds:
+            raise RuntimeError(f"the timetable isn't complete after {max_rounds} rounds")
         state.rounds += 1
         t0 = time.perf_counter()
         courses = state.courses

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from semestra.functions.schedule import slot_days, slot_hours
 from semestra.functions.text import upper_name
-from semestra.session import broadcast_if_small
 
 
 def left_zero_fill(left: DataFrame, right: DataFrame, on: Sequence[str] | str,
@@ -45,12 +44,11 @@ def career_semester_join(students: DataFrame, courses: DataFrame,
                          course_sem: str = "semestre_materia") -> DataFrame:
     """Student x course of the same career with the student's semester
     >= the course's semester. Written as an equi-join on career with a range
-    residual (never a cross join); the catalogue side is broadcast only when a
-    count proves it small."""
-    cat = broadcast_if_small(courses, write_first=True)
+    residual (never a cross join); whether the catalogue is broadcast is left to the
+    optimiser's byte threshold."""
     cond = [F.col(student_career) == F.col(course_career),
             F.col(student_sem) >= F.col(course_sem)]
-    return students.join(cat, on=cond, how="inner")
+    return students.join(courses, on=cond, how="inner")
 
 
 def normalized_key_join(left: DataFrame, right: DataFrame, left_key: str,

@@ -101,15 +101,18 @@ class TrainingResult:
 
 def training_job(spark: SparkSession, model_ready_path: str, model_path: str,
                  grid: bool = True, **train_args) -> TrainingResult:
-    """model_ready -> hash split -> grid search + refit -> saved pipeline;
-    the held-out RMSE is measured (D17)."""
+    """model_ready -> hash split -> grid search; the held-out RMSE is measured
+    (D17), then the best parameters are fitted to all rows and saved (M5)."""
     mt = model.training_frame(spark.read.parquet(model_ready_path))
     mt = materialize(mt.drop("horario_visual"), "training")
     train, test = model.hash_split(mt, "grupo_id")
     fitted = model.train_model(train, grid=grid, **train_args)
-    model.save_model(fitted, model_path)
     n_test = test.count()
     rmse = model.evaluate(fitted, test) if n_test else float("nan")
+    gbt = fitted.stages[-1]
+    fitted = model.train_model(mt, grid=False, depth=[gbt.getMaxDepth()], iters=[gbt.getMaxIter()],
+                               steps=[gbt.getStepSize()])
+    model.save_model(fitted, model_path)
     return TrainingResult(fitted, rmse, train.count(), n_test)
 
 

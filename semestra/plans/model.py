@@ -30,7 +30,7 @@ FEATURE_LABELS = {
 }
 # Grid search space and training settings.
 GRID_DEPTH, GRID_ITER, GRID_STEP = [3, 5], [20, 60], [0.1]
-FOLDS, SEED, MAX_BINS = 3, 42, 128
+FOLDS, SEED, MIN_BINS = 3, 42, 32
 DEFAULT_TEACHER_QUALITY = 85.0  # serving default when a teacher has no history
 
 
@@ -77,7 +77,10 @@ def train_model(train: DataFrame, grid: bool = True, folds: int = FOLDS,
     """M4 + M5: grid search with k-fold RMSE, then refit the best parameters
     on every training row. Returns one PipelineModel (indexer, assembler,
     GBT) so serving reuses the fitted course index."""
-    gbt = GBTRegressor(featuresCol="features", labelCol=LABEL, seed=SEED, maxBins=MAX_BINS)
+    # A categorical feature needs a bin for each of its values, and one for others.
+    courses = train.agg(F.count_distinct("materia_nombre_visual")).first()[0]
+    bins = max(MIN_BINS, courses + 2)
+    gbt = GBTRegressor(featuresCol="features", labelCol=LABEL, seed=SEED, maxBins=bins)
     best = {"maxDepth": depth[0], "maxIter": iters[0], "stepSize": steps[0]}
     if grid and (len(depth) * len(iters) * len(steps) > 1):
         params = (ParamGridBuilder().addGrid(gbt.maxDepth, list(depth))
@@ -89,7 +92,7 @@ def train_model(train: DataFrame, grid: bool = True, folds: int = FOLDS,
         scores = list(cv_model.avgMetrics)
         chosen = params[scores.index(min(scores))]
         best = {p.name: v for p, v in chosen.items()}
-    final = GBTRegressor(featuresCol="features", labelCol=LABEL, seed=SEED, maxBins=MAX_BINS,
+    final = GBTRegressor(featuresCol="features", labelCol=LABEL, seed=SEED, maxBins=bins,
                          maxDepth=best["maxDepth"], maxIter=best["maxIter"],
                          stepSize=best["stepSize"])
     return _pipeline(final).fit(train)

@@ -16,7 +16,6 @@ from semestra.functions.schedule import (DEFAULT_SLOTS, block_map_ints, blocks_t
                                          total_blocked_hours)
 from semestra.operators.greedy import greedy_select, rank_key
 from semestra.operators.joins import drop_blocked
-from semestra.session import broadcast_if_small
 
 DEFAULT_ROOM_CAPACITY = 30  # fixed value: capacity when a room has none
 MAX_SECTIONS = 100          # fixed value: the timetable holds at most 100 sections
@@ -30,11 +29,17 @@ def slot_array(slots: Sequence[tuple[str, int]] = DEFAULT_SLOTS) -> F.Column:
 
 def department_teacher_pairs(courses: DataFrame, teachers: DataFrame) -> DataFrame:
     """Teachers that may teach a course: those of the course's department
-    (F22), as an equi-join on the department."""
+    (F22), as an equi-join on the department; where a department has none, all
+    teachers (they are listed under it as well)."""
     c = courses.select("materia_nombre", "carrera_materia").distinct() \
         .withColumn("departamento", department_of("materia_nombre", "carrera_materia"))
     t = teachers.select("profesor_id", "nombre_profesor", "departamento")
-    return c.join(broadcast_if_small(t), "departamento").drop("departamento")
+    # Departments are a handful of fixed names.
+    bare = [r.departamento for r in c.select("departamento").distinct().join(t, "departamento", "left_anti").collect()]
+    if bare:
+        every = t.drop("departamento").withColumn("departamento", F.explode(F.array(*map(F.lit, bare))))
+        t = t.unionByName(every)
+    return c.join(t, "departamento").drop("departamento")
 
 
 def lab_pools(courses: DataFrame, rooms: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -62,7 +67,7 @@ def candidate_sections(courses: DataFrame, teacher_pairs: DataFrame, rooms: Data
     """
     keys = ["materia_nombre", "carrera_materia"]
     c = courses.select(*keys, "semestre_materia", "demanda_real", "room_pool")
-    r = broadcast_if_small(rooms.select("salon_id", "capacidad_base", "room_pool"))
+    r = rooms.select("salon_id", "capacidad_base", "room_pool")
     n_parts = int(courses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = c.join(teacher_pairs, keys)
     extra = [x for x in pairs.columns

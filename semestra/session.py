@@ -1,5 +1,5 @@
-"""Session helpers: building a session for tests/bench, the checkpoint folder,
-and a size-checked broadcast."""
+"""Session helpers: building a session for tests/bench, the shared folder and
+tables written to it."""
 
 from __future__ import annotations
 
@@ -8,12 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-# Dimension tables (course catalogue, rooms, slots, blocks) are broadcast only
-# when a count proves them below this many rows; otherwise the planner's
-# shuffle join is used.
-BROADCAST_MAX_ROWS = 200_000
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int = 8,
@@ -59,21 +54,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
-                       write_first: bool = False) -> DataFrame:
-    """Hint a broadcast only when a count proves the side small.
-
-    The count is one scalar job; above the bound the plain DataFrame is
-    returned and Catalyst/AQE pick a shuffle join. With ``write_first`` a
-    derived side is written once (``materialize``) so the count and the join
-    read the written table instead of running its pipeline twice.
-    """
-    if write_first:
-        df = materialize(df, "dim")
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def materialize(df: DataFrame, name: str = "t", written: list[str] | None = None) -> DataFrame:
     """Cut lineage by writing ``df`` as Parquet under the cluster's checkpoint
     folder and reading it back.

@@ -4,9 +4,11 @@ Every planning query runs on the academic schema (sections, enrolments,
 students, courses, teachers, attendance). On the driver's tables these are
 derived, by Spark, from whole tables:
 
-  section     = an order with a first line (term = half-year of the order date, career = the
-                customer's market segment, course = brand of line 1's part,
-                teacher = line 1's supplier, room = the customer's nation)
+  section     = an order (term = half-year of the order date, career = the
+                customer's market segment; course = brand of the part and
+                teacher = supplier of its first line, the least (number, part,
+                supplier); room = the customer's nation); an order without
+                lines is a section without course, teacher and students
   enrolment   = a line item (grade = 2 x quantity, dropped = return flag R)
   student     = a customer in each term they ordered (semester = how many
                 terms so far, passed = brands bought with grade >= 70 in
@@ -24,8 +26,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# The five TPC-H market segments (careers of the stand-in).
-SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 SECTION_SEATS = 7          # an order holds at most 7 lines
 BRANDS_PER_SEMESTER = 5
 
@@ -51,12 +51,13 @@ def brand_semester(brand: Column) -> Column:
 
 def sections(spark: SparkSession, d: str) -> DataFrame:
     o = read(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    # (order, line number) is no key: one first line is chosen of all lines.
     l1 = (read(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
-          .filter(F.col("l_linenumber") == 1).drop("l_linenumber"))
+          .groupBy("l_orderkey").agg(F.min(F.struct("l_linenumber", "l_partkey", "l_suppkey")).alias("first"))
+          .select("l_orderkey", "first.l_partkey", "first.l_suppkey"))
     p = read(spark, d, "part", "p_partkey", "p_brand")
     c = read(spark, d, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
-    # A section is an order that has a first line (its course and teacher).
-    s = (o.join(l1, o.o_orderkey == l1.l_orderkey, "inner")
+    s = (o.join(l1, o.o_orderkey == l1.l_orderkey, "left")
          .join(p, F.col("l_partkey") == p.p_partkey, "left")
          .join(c, o.o_custkey == c.c_custkey, "left"))
     hour = (F.lit(7) + F.lit(2) * (F.dayofmonth("o_orderdate") % 7)).cast("int")
@@ -230,8 +231,10 @@ sec AS (
          CAST(7 + 2 * (dayofmonth(o.o_orderdate) % 7) AS INTEGER) AS hora_inicio_promedio,
          CASE WHEN o.o_orderstatus = 'P' THEN 'True' ELSE 'False' END AS conflicto_recurso_detectado
   FROM orders o
-  JOIN (SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem WHERE l_linenumber = 1) l
-    ON o.o_orderkey = l.l_orderkey
+  LEFT JOIN (
+    SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem
+    QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) = 1
+  ) l ON o.o_orderkey = l.l_orderkey
   LEFT JOIN part p ON l.l_partkey = p.p_partkey
   LEFT JOIN customer c ON o.o_custkey = c.c_custkey
 )""",

@@ -79,9 +79,10 @@ def read_snapshots(spark: SparkSession, glob: str, schema: T.StructType | None =
 
 def split_concatenated_json(value) -> F.Column:
     """A line may hold several objects written back to back (``}{``);
-    split them into an array of JSON texts."""
+    split them into an array of JSON texts. Only where the rest of the line
+    has its quotes paired, so not inside a text value."""
     v = F.col(value) if isinstance(value, str) else value
-    return F.split(F.regexp_replace(v, r"\}\s*\{", "}\u0001{"), "\u0001")
+    return F.split(F.regexp_replace(v, r'\}\s*\{(?=(?:[^"\\]++|"(?:[^"\\]++|\\.)*+")*+$)', "}\u0001{"), "\u0001")
 
 
 def parse_events(lines: DataFrame, schema: T.StructType = ATTENDANCE_SCHEMA,

@@ -45,15 +45,16 @@ def _opt(df: DataFrame, name: str) -> Column:
 
 
 def replace_table_rows(df: DataFrame) -> DataFrame:
-    """The projection a full refresh writes: semestre_id (default
-    '2025-1'), grupo_id (grupo, else id, else 'UNKNOWN'), materia_nombre
-    (materia_nombre, else materia). Written with mode('overwrite')."""
+    """The projection a full refresh writes: semestre_id (semestre as
+    text, else '2025-1'), grupo_id (grupo, else id, else 'UNKNOWN'),
+    materia_nombre (materia, else materia_nombre). Written with
+    mode('overwrite')."""
     return df.select(
         "*",
-        F.coalesce(_opt(df, "semestre_id"), F.lit(DEFAULT_TERM)).alias("_semestre_id"),
+        F.coalesce(_opt(df, "semestre").cast("string"), F.lit(DEFAULT_TERM)).alias("_semestre_id"),
         F.coalesce(_opt(df, "grupo").cast("string"), _opt(df, "id").cast("string"),
                    F.lit(UNKNOWN_GROUP)).alias("_grupo_id"),
-        F.coalesce(_opt(df, "materia_nombre"), _opt(df, "materia")).alias("_materia_nombre"),
+        F.coalesce(_opt(df, "materia"), _opt(df, "materia_nombre")).alias("_materia_nombre"),
     ).drop(*[c for c in ("semestre_id", "grupo_id", "materia_nombre") if c in df.columns]) \
      .withColumnRenamed("_semestre_id", "semestre_id") \
      .withColumnRenamed("_grupo_id", "grupo_id") \
@@ -73,11 +74,24 @@ def upsert_latest(log: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def field_fallback(df: DataFrame, first: str, second: str, default) -> Column:
-    """First truthy (non-null, non-empty, non-zero) of two fields."""
-    def truthy(c: Column) -> Column:
-        s = c.cast("string")
-        return F.when(s.isNull() | (s == "") | (s == "0") | (F.lower(s) == "false"), None).otherwise(c)
-    return F.coalesce(truthy(_opt(df, first)), truthy(_opt(df, second)), F.lit(default))
+    """The first truthy of two fields as text, by the column's type: text
+    counts unless empty, a number unless zero or NaN, a boolean if true."""
+    kinds = dict(df.dtypes)
+
+    def truthy(name: str) -> Column:
+        c, kind = _opt(df, name), kinds.get(name, "string")
+        if kind == "boolean":
+            ok = c
+        elif kind == "string":
+            ok = c != ""
+        elif kind in ("float", "double"):
+            ok = (c != 0) & ~F.isnan(c)
+        elif kind.split("(")[0] in ("tinyint", "smallint", "int", "bigint", "decimal"):
+            ok = c != 0
+        else:
+            ok = c.isNotNull()
+        return F.when(ok, c.cast("string"))
+    return F.coalesce(truthy(first), truthy(second), F.lit(default).cast("string"))
 
 
 def coerce_for_store(df: DataFrame, text_fields: Sequence[str] = (),

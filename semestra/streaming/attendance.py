@@ -23,7 +23,6 @@ from semestra.session import ensure_checkpoint_dir
 from semestra.sources.files import ATTENDANCE_SCHEMA, parse_events
 
 EVENT_TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
-WATERMARK = "1 day"
 
 
 def read_event_stream(spark: SparkSession, path: str, fmt: str = "text",
@@ -46,13 +45,15 @@ def with_event_time(events: DataFrame, time_col: str = "fecha_hora_evento",
 
 
 def attendance_counts(events: DataFrame, sections: DataFrame,
-                      watermark: str = WATERMARK) -> DataFrame:
-    """The stateful part: dedupe within the watermark, join the static
-    sections, count per (teacher, hour, type). State is bounded by the
-    watermark (dedupe) and by teachers x hours x types (counts)."""
-    deduped = (with_event_time(events)
-               .withWatermark("event_ts", watermark)
-               .dropDuplicatesWithinWatermark(["asistencia_id", "timestamp_ingesta"]))
+                      watermark: str | None = None) -> DataFrame:
+    """The stateful part: dedupe, join the static sections, count per (teacher,
+    hour, type). Without a watermark no late record is dropped, and the state
+    keeps one key per record; an endless stream names a watermark, beyond which
+    late records are lost."""
+    key = ["asistencia_id", "timestamp_ingesta"]
+    timed = with_event_time(events)
+    deduped = (timed.withWatermark("event_ts", watermark).dropDuplicatesWithinWatermark(key) if watermark
+               else timed.dropDuplicates(key))
     joined = deduped.join(sections.select("grupo_id", "profesor_id", "hora_inicio_promedio"),
                           "grupo_id", "inner")
     return joined.groupBy("profesor_id", "hora_inicio_promedio", "tipo_evento") \
@@ -61,7 +62,7 @@ def attendance_counts(events: DataFrame, sections: DataFrame,
 
 def run_attendance_stream(events: DataFrame, sections: DataFrame, output_path: str,
                           checkpoint_path: str | None = None,
-                          watermark: str = WATERMARK, available_now: bool = True,
+                          watermark: str | None = None, available_now: bool = True,
                           processing_time: str | None = None):
     """Start W1 writing the complete count table to ``output_path`` (Parquet,
     overwritten per micro-batch). ``available_now`` processes every file
