@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-CACHE = 400_000  # words remembered by a worker; beyond it the memory starts anew
+CACHE = 300_000  # words a task remembers; beyond it the memory starts anew
 _BLANK = re.compile(r"[ \t\n\r\x0b\x0c]+")
 #: ASCII and Latin letters: composed as they are, each lower-cased by itself.
 _PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+\Z")
@@ -211,15 +211,20 @@ def encode_column(docs: DataFrame, path: str | None = None) -> DataFrame:
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = encoder(path)
+        made, usual = encoder(path), gc.get_threshold()
         gc.set_threshold(1_000_000)  # the remembered words hold no cycles
-        for batch in batches:
-            for row in range(0, len(batch), 64):
-                part = batch.slice(row, 64)
-                ids = [made.encode(t.as_py() or "") for t in part.column(at)]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([made.decode(i) for i in ids], pa.string())],
-                    names=[*names, "ids", "decoded"])
+        try:
+            for batch in batches:
+                for row in range(0, len(batch), 64):
+                    part = batch.slice(row, 64)
+                    ids = [made.encode(t.as_py() or "") for t in part.column(at)]
+                    yield pa.RecordBatch.from_arrays(
+                        [*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([made.decode(i) for i in ids], pa.string())],
+                        names=[*names, "ids", "decoded"])
+        finally:  # a worker goes on to other stages: it keeps the automaton only
+            made.words.clear()
+            made.chunks.clear()
+            gc.set_threshold(*usual)
 
     plain = docs.select(*(F.col(f"`{c}`") for c in names))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
