@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-CACHE = 300_000  # words a task remembers; beyond it the memory starts anew
+CACHE = 300_000  # words, and transitions, a task remembers; beyond it the memory starts anew
 _BLANK = re.compile(r"[ \t\n\r\x0b\x0c]+")
 #: ASCII and Latin letters: composed as they are, each lower-cased by itself.
 _PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+\Z")
@@ -114,6 +114,8 @@ class Automaton:
                     key = path[-1] * size + arc
                     ok = table.get(key)
                     if ok is None:
+                        if len(table) >= CACHE:
+                            table.clear()
                         ok = table[key] = self._resolve(path[-1], arc)
                     if ok:
                         break
@@ -163,6 +165,8 @@ class Encoder:
                 words = [w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES) for w in words]
         else:
             words = [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(chunk))]
+        if len(words) == 1:
+            return self._word(words[0])  # both memories hold the same list
         return [i for w in words for i in self._word(w)]
 
     def _chunk(self, chunk: str) -> list[int]:
@@ -190,6 +194,14 @@ class Encoder:
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.labels.__getitem__, ids))
 
+    def forget(self) -> None:
+        """Keep the automaton only. Transitions go with the words: they lie
+        among them, and a block of memory is given back only when empty."""
+        self.words.clear()
+        self.chunks.clear()
+        self.automaton.table.clear()
+        pa.default_memory_pool().release_unused()
+
 
 def encoder(path: str) -> Encoder:
     """The encoder of a file, compiled once in a worker."""
@@ -221,9 +233,8 @@ def encode_column(docs: DataFrame, path: str | None = None) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([made.decode(i) for i in ids], pa.string())],
                         names=[*names, "ids", "decoded"])
-        finally:  # a worker goes on to other stages: it keeps the automaton only
-            made.words.clear()
-            made.chunks.clear()
+        finally:  # a worker goes on to other stages
+            made.forget()
             gc.set_threshold(*usual)
 
     plain = docs.select(*(F.col(f"`{c}`") for c in names))
