@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from semestra.operators.joins import latest_key_semi
 from semestra.plans import attendance as att
-from semestra.plans import catalog, demand, features, insights, model, timetable
+from semestra.plans import catalog, demand, features, insights, model, reports, timetable
 from semestra.sources import driver as drv
 from semestra.sources.files import parse_events
 from semestra.sources.store import upsert_latest
@@ -158,9 +158,8 @@ def q_attendance_by_hour(spark: SparkSession, d: str) -> DataFrame:
     return att.attendance_by_hour(_attendance_joined(spark, d))
 
 
-def q_attendance_stream(spark: SparkSession, d: str) -> DataFrame:
-    # Run the stream over every event file present (availableNow), then
-    # roll the state table up to the per-teacher statistics of Q14a.
+def _stream_counts(spark: SparkSession, d: str) -> DataFrame:
+    # Run the stream over every event file present (availableNow).
     from semestra.session import ensure_checkpoint_dir
     from semestra.streaming import attendance as stream
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/w1-{uuid.uuid4().hex}"
@@ -168,7 +167,17 @@ def q_attendance_stream(spark: SparkSession, d: str) -> DataFrame:
                                      drv.attendance_sections(spark, d), f"{base}/counts",
                                      f"{base}/checkpoint")
     q.awaitTermination()
-    return stream.stats_from_counts(spark.read.parquet(f"{base}/counts"))
+    return spark.read.parquet(f"{base}/counts")
+
+
+def q_attendance_stream(spark: SparkSession, d: str) -> DataFrame:
+    from semestra.streaming import attendance as stream
+    return stream.stats_from_counts(_stream_counts(spark, d))
+
+
+def q_attendance_stream_by_hour(spark: SparkSession, d: str) -> DataFrame:
+    from semestra.streaming import attendance as stream
+    return stream.by_hour_from_counts(_stream_counts(spark, d))
 
 
 def q_latest_event_per_user(spark: SparkSession, d: str) -> DataFrame:
@@ -236,6 +245,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "attendance_by_teacher": q_attendance_by_teacher,
         "attendance_by_hour": q_attendance_by_hour,
         "attendance_stream": q_attendance_stream,
+        "attendance_stream_by_hour": q_attendance_stream_by_hour,
         "latest_event_per_user": q_latest_event_per_user,
         "teacher_blocks": q_teacher_blocks,
         "teacher_block_summary": q_teacher_block_summary,
@@ -243,6 +253,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "hour_bias_chart": q_hour_bias_chart,
         "timetable": q_timetable,
         "schedule_kpis": q_schedule_kpis,
+        **reports.QUERIES,
         **(llm.QUERIES if llm else {}),
     }
 
@@ -289,6 +300,15 @@ SELECT *, CASE WHEN total = 0 THEN 0.0
 FROM st"""
 
 
+_ATT_BY_HOUR = _W("att") + """,
+j AS (SELECT a.*, s.profesor_id, s.hora_inicio_promedio FROM att a JOIN att_sec s USING (grupo_id))
+SELECT hora_inicio_promedio,
+       CAST(round(CAST(avg(CASE WHEN tipo_evento = 'Entrada' THEN 1.0 ELSE 0.0 END)
+                       AS DECIMAL(38, 10)), 2) AS DOUBLE) AS tasa_asistencia_promedio,
+       count(*) AS volumen_datos
+FROM j GROUP BY hora_inicio_promedio"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "bottleneck_courses": _W("sec", "enr") + """
@@ -451,13 +471,8 @@ UNION ALL
 SELECT nombre_profesor, calificacion_promedio, total_grupos_impartidos, ranking FROM bot""",
         "attendance_by_teacher": _ATT_BY_TEACHER,
         "attendance_stream": _ATT_BY_TEACHER,
-        "attendance_by_hour": _W("att") + """,
-j AS (SELECT a.*, s.profesor_id, s.hora_inicio_promedio FROM att a JOIN att_sec s USING (grupo_id))
-SELECT hora_inicio_promedio,
-       CAST(round(CAST(avg(CASE WHEN tipo_evento = 'Entrada' THEN 1.0 ELSE 0.0 END)
-                       AS DECIMAL(38, 10)), 2) AS DOUBLE) AS tasa_asistencia_promedio,
-       count(*) AS volumen_datos
-FROM j GROUP BY hora_inicio_promedio""",
+        "attendance_by_hour": _ATT_BY_HOUR,
+        "attendance_stream_by_hour": _ATT_BY_HOUR,
         "teacher_blocks": """
 WITH b AS (
   SELECT user_id, hour(ts) AS hora,
@@ -514,5 +529,6 @@ WITH last AS (
 )
 SELECT user_id, event_id, event_type, value FROM last
 WHERE rn = 1 AND event_type <> 'error'""",
+        **reports.SQL,
         **(llm.ORACLES if llm else {}),
     }
