@@ -219,7 +219,7 @@ def q_timetable(spark: SparkSession, d: str) -> DataFrame:
         .withColumn("profesor_id", F.col("profesor_id").cast("long"))
     out, _ = timetable.greedy_timetable(_scored_candidates(spark, d), q_teacher_blocks(spark, d),
                                         stats, max_sections=timetable.MAX_SECTIONS)
-    return out
+    return out.drop("round")
 
 
 def q_schedule_kpis(spark: SparkSession, d: str) -> DataFrame:
@@ -300,6 +300,76 @@ SELECT *, CASE WHEN total = 0 THEN 0.0
 FROM st"""
 
 
+# One step per accepted section: the best-ranked later candidate whose
+# teacher, room and course are still free.
+_TIMETABLE = _W("stu", "crs").replace("WITH ", "WITH RECURSIVE ", 1) + """,
+d AS (
+  SELECT c.materia_nombre, c.semestre_materia, c.carrera, count(*) AS demanda,
+         CAST(regexp_extract(c.materia_nombre, '#(\\d+)', 1) AS INTEGER) % 5 AS pool
+  FROM stu s JOIN crs c ON s.carrera = c.carrera AND s.semestre_actual >= c.semestre_materia
+  WHERE s.semestre_historico = (SELECT max(semestre_historico) FROM stu) AND s.estado = 'Activo'
+    AND list_has_all(s.materias_aprobadas, c.prerequisitos)
+    AND NOT list_contains(s.materias_aprobadas, c.materia_nombre)
+  GROUP BY ALL HAVING count(*) >= 15
+),
+q AS (
+  SELECT l_suppkey AS profesor_id, upper(p_brand) AS materia_nombre,
+         CAST(round(CAST(avg(l_quantity * 2) AS DECIMAL(38, 10)), 1) AS DOUBLE) AS score
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL
+),
+factor AS (SELECT CAST(profesor_id AS BIGINT) AS profesor_id, factor_asistencia FROM (""" + _ATT_BY_TEACHER + """)),
+slots AS (SELECT unnest(""" + reports.SLOTS + """) AS slot),
+blocked AS (
+  SELECT DISTINCT user_id, hour(ts) AS hora,
+         ['DOMINGO','LUNES','MARTES','MIERCOLES','JUEVES','VIERNES','SABADO'][dayofweek(ts) + 1] AS dia
+  FROM events WHERE event_type = 'error'
+    AND user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase')
+),
+busy AS (
+  SELECT DISTINCT user_id, slot FROM blocked, slots
+  WHERE list_contains(""" + reports.SLOT_DAYS + """, dia) AND list_contains(""" + reports.SLOT_HOURS + """, hora)
+),
+cand AS MATERIALIZED (
+  SELECT d.*, q.profesor_id, s_name, q.score, slot, coalesce(f.factor_asistencia, 0.0) AS factor,
+         'R' || n_nationkey AS salon, CAST(25 + 5 * n_regionkey AS INTEGER) AS cap,
+         d.materia_nombre || '|' || d.carrera AS ck,
+         row_number() OVER (ORDER BY q.score DESC NULLS LAST,
+           md5(concat_ws('|', d.materia_nombre, d.carrera, q.profesor_id, 'R' || n_nationkey, slot))) AS rk
+  FROM d JOIN q ON d.materia_nombre = q.materia_nombre JOIN supplier ON s_suppkey = q.profesor_id
+  JOIN nation ON n_regionkey = d.pool CROSS JOIN slots
+  LEFT JOIN factor f ON f.profesor_id = q.profesor_id
+  WHERE NOT EXISTS (SELECT 1 FROM busy WHERE busy.user_id = q.profesor_id AND busy.slot = slots.slot)
+),
+walk AS (
+  SELECT 0 AS n, CAST(0 AS BIGINT) AS rk, CAST(0 AS BIGINT) AS seats, []::VARCHAR[] AS used,
+         []::STRUCT(ck VARCHAR, seats BIGINT)[] AS placed
+  UNION ALL
+  SELECT n + 1, rk, seats, list_concat(used, [t, r]), list_append(placed, {'ck': ck, 'seats': seats})
+  FROM (
+    SELECT n, rk, ck, t, r, used, placed, least(cap, left_) AS seats
+    FROM (
+      SELECT w.n, c.rk, c.ck, c.cap, w.used, w.placed,
+             'T' || c.profesor_id || '@' || c.slot AS t, c.salon || '@' || c.slot AS r,
+             c.demanda - coalesce(CAST(list_sum(list_transform(list_filter(w.placed, lambda x: x.ck = c.ck),
+                                                               lambda x: x.seats)) AS BIGINT), 0) AS left_
+      FROM walk w JOIN cand c ON c.rk > w.rk
+      WHERE w.n < 100
+    )
+    WHERE left_ > 0 AND NOT list_contains(used, t) AND NOT list_contains(used, r)
+    ORDER BY rk LIMIT 1
+  )
+),
+tt AS (
+  SELECT w.n AS id, materia_nombre AS materia, CAST(semestre_materia AS INTEGER) AS semestre,
+         'G' || (w.n + 100) AS grupo, s_name AS profesor, profesor_id, carrera, slot AS horario, salon,
+         round_even(greatest(0.0, least(100.0, score + factor * 50))
+                    * CASE WHEN w.seats / cap < 0.5 THEN w.seats / cap ELSE 1.0 END, 1) AS score,
+         w.seats || '/' || cap AS demanda, CAST(w.seats AS INTEGER) AS inscritos, cap AS capacidad,
+         w.seats >= 15 AS opens, factor AS factor_asistencia
+  FROM walk w JOIN cand c ON w.rk = c.rk
+)
+"""
+
 _ATT_BY_HOUR = _W("att") + """,
 j AS (SELECT a.*, s.profesor_id, s.hora_inicio_promedio FROM att a JOIN att_sec s USING (grupo_id))
 SELECT hora_inicio_promedio,
@@ -529,6 +599,15 @@ WITH last AS (
 )
 SELECT user_id, event_id, event_type, value FROM last
 WHERE rn = 1 AND event_type <> 'error'""",
+        "timetable": _TIMETABLE + "SELECT * FROM tt",
+        "schedule_kpis": _TIMETABLE + """
+SELECT count(*) AS num_grupos, count(*) FILTER (WHERE opens) AS num_grupos_abren,
+       round_even(coalesce(avg(score), 0.0), 1) AS avgScore,
+       CAST(coalesce(sum(inscritos), 0) AS BIGINT) AS cupos_asignados,
+       CAST(coalesce(sum(capacidad) FILTER (WHERE opens), 0) AS BIGINT) AS capacidad_abierta,
+       round_even(CASE WHEN sum(capacidad) FILTER (WHERE opens) > 0
+                       THEN sum(inscritos) / sum(capacidad) FILTER (WHERE opens) * 100 ELSE 0.0 END, 1) AS demandaSatisfecha
+FROM tt""",
         **reports.SQL,
         **(llm.ORACLES if llm else {}),
     }

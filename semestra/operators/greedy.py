@@ -45,7 +45,7 @@ def rank_key(score_col: str, key_cols: Sequence[str]) -> F.Column:
     """Strict total order (D13): score descending, null scores last, then a hash of the keys
     (spreads ties so rounds stay few), then the keys themselves."""
     return F.struct(F.coalesce(-F.col(score_col).cast("double"), F.lit(float("inf"))).alias("s"),
-                    F.xxhash64(*key_cols).alias("h"),
+                    F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols])).alias("h"),
                     *[F.col(c).alias(f"k{i}") for i, c in enumerate(key_cols)])
 
 

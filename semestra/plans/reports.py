@@ -145,10 +145,10 @@ QUERIES = {f.__name__: f for f in (
     section_seating, section_slots, open_teacher_slots, course_ids, store_refresh, career_sections,
     filtered_suggestions, brand_parts, people, first_teachers, customers_by_csv, orders_by_json)}
 
-_SLOTS = "[" + ", ".join(f"'{s}'" for s, _ in sch.DEFAULT_SLOTS) + "]"
-_DAYS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in sch.DAY_NAMES.items()) + "}"
-_SLOT_DAYS = f"list_transform(string_split(split_part(slot, ' ', 1), '-'), lambda x: {_DAYS}[x])"
-_SLOT_HOURS = """range(CAST(substr(split_part(slot, ' ', 2), 1, 2) AS INTEGER),
+SLOTS = "[" + ", ".join(f"'{s}'" for s, _ in sch.DEFAULT_SLOTS) + "]"
+_DAY_MAP = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in sch.DAY_NAMES.items()) + "}"
+SLOT_DAYS = f"list_transform(string_split(split_part(slot, ' ', 1), '-'), lambda x: {_DAY_MAP}[x])"
+SLOT_HOURS = """range(CAST(substr(split_part(slot, ' ', 2), 1, 2) AS INTEGER),
              CAST(substr(split_part(slot, ' ', 2), 7, 2) AS INTEGER))"""
 
 SQL = {
@@ -172,9 +172,9 @@ SELECT grupo_id, n || '/' || cap AS demanda, CAST(n AS INTEGER) AS ocupados, CAS
        CASE WHEN materia_semestre < 3 THEN 'backlog' WHEN materia_semestre = 3 THEN 'regular' END AS carga
 FROM f""",
     "section_slots": drv.sql_with("sec") + f""",
-x AS (SELECT *, {_SLOTS}[grupo_id % 5 + 1] AS slot FROM sec)
-SELECT grupo_id, slot AS horario, array_to_string({_SLOT_DAYS}, ',') AS dias,
-       array_to_string({_SLOT_HOURS}, ',') AS horas,
+x AS (SELECT *, {SLOTS}[grupo_id % 5 + 1] AS slot FROM sec)
+SELECT grupo_id, slot AS horario, array_to_string({SLOT_DAYS}, ',') AS dias,
+       array_to_string({SLOT_HOURS}, ',') AS horas,
        hora_inicio_promedio AS primera_hora, CAST(hora_inicio_promedio AS DOUBLE) AS hora_media
 FROM x""",
     "open_teacher_slots": f"""
@@ -184,10 +184,10 @@ WITH b AS (
   FROM events WHERE event_type = 'error'
     AND user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase')
 ),
-u AS (SELECT DISTINCT user_id, unnest({_SLOTS}) AS slot FROM events WHERE user_id IS NOT NULL),
+u AS (SELECT DISTINCT user_id, unnest({SLOTS}) AS slot FROM events WHERE user_id IS NOT NULL),
 busy AS (
   SELECT u.user_id, u.slot FROM u JOIN b USING (user_id)
-  WHERE list_contains({_SLOT_DAYS}, b.dia) AND list_contains({_SLOT_HOURS}, b.hora)
+  WHERE list_contains({SLOT_DAYS}, b.dia) AND list_contains({SLOT_HOURS}, b.hora)
 )
 SELECT user_id AS profesor_id, slot AS str FROM u
 WHERE NOT EXISTS (SELECT 1 FROM busy WHERE busy.user_id = u.user_id AND busy.slot = u.slot)""",
