@@ -1,12 +1,13 @@
 """Tool calls linked to their results, in dependency order, as canonical JSON.
 
 Calls and results meet in a hash join on (conversation, call id). A call may
-name calls whose results it uses, and (level, turn, call_id) is a topological
-order of a conversation's calls. Where calls name only calls that stand before
-them, (turn, call_id) is one already and every level is 0, however long the
-conversation. Where a call names a later one, levels come from rounds that
-settle every call whose dependencies are settled (Kahn's order), each round a
-join, so a conversation is never gathered. Arguments are
+name calls whose results it uses; its level is the length of the longest chain
+of known calls behind it, so (level, turn, call_id) is a topological order of a
+conversation's calls. Calls that name one other call point at it, and pointers
+are doubled until they reach a call that names none or several, so a chain takes
+rounds by the logarithm of its length; what names several is settled in rounds
+once all it names are (Kahn's order). Every round is a join, so a conversation
+is never gathered. Arguments are
 checked against the tool's schema (a subset of JSON Schema: type, required,
 properties, enum, minimum, maximum, minLength, additionalProperties).
 
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semestra.session import materialize
+from semestra.session import drop_written, materialize
 
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list}
 
@@ -66,37 +67,52 @@ def schema_errors(value: Any, schema: dict, at: str = "$") -> list[str]:
 def _levels(calls: DataFrame) -> DataFrame:
     """conv_id, call_id, level (null if unsettled) and unknown (whether the
     call names an unknown one) of every call."""
+    spark = calls.sparkSession
     written: list[str] = []
     key = ["conv_id", "call_id"]
-    deps = calls.select("conv_id", "call_id", "turn", F.explode(F.array_distinct("after")).alias("dep"))
-    there = calls.select("conv_id", F.col("call_id").alias("dep"), F.col("turn").alias("dep_turn"), F.lit(True).alias("is_known"))
+    deps = calls.select(*key, F.explode(F.array_distinct("after")).alias("dep"))
+    there = calls.select("conv_id", F.col("call_id").alias("dep"), F.lit(True).alias("is_known"))
     deps = materialize(deps.join(there, ["conv_id", "dep"], "left"), "deps", written)
     unknown = deps.where("is_known IS NULL").select(*key, F.lit(True).alias("unknown")).distinct()
-    before = F.struct("dep_turn", "dep") < F.struct("turn", "call_id")
-    tangled = deps.where("is_known").where(~before).select("conv_id").distinct()
-    open_ = materialize(deps.where("is_known").join(tangled, "conv_id", "left_semi").select(*key, "dep"), "open", written)
-    out = calls.select(*key).join(unknown, key, "left").withColumn("unknown", F.coalesce("unknown", F.lit(False)))
-    if open_.isEmpty():
-        return out.withColumn("level", F.lit(0))
-    waiting = open_.select(*key).distinct().withColumn("waits", F.lit(True))
-    new = calls.select(*key).join(tangled, "conv_id", "left_semi").join(waiting, key, "left_anti")
-    settled, level, first = None, 0, waiting
+    named = deps.where("is_known").groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("dep").alias("dep"))
+    named = materialize(named, "named", written)
+    roots = calls.select(*key).join(named, key, "left_anti").withColumn("level", F.lit(0))
+    # A call that names one other points ``dist`` calls back, at ``to``.
+    hop = named.where("n = 1").select(*key, F.col("dep").alias("to"), F.lit(1).alias("dist"))
+    most = calls.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    reach = 1
+    while reach < most and not hop.isEmpty():  # a pointer that reaches further goes round in a cycle
+        after = hop.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("dist").alias("more"))
+        hop = materialize(hop.join(after, ["conv_id", "to"], "left")
+                          .select(*key, F.coalesce("next", "to").alias("to"), F.col("dist"), "more"), "hop", written)
+        moved = hop.where("more IS NOT NULL").isEmpty()
+        hop = hop.select(*key, "to", (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"))
+        if moved:
+            break
+        reach *= 2
+    several = deps.where("is_known").join(named.where("n > 1").select(*key), key, "left_semi")
+    back = hop.select("conv_id", F.col("call_id").alias("dep"), "to", "dist")
+    open_ = materialize(several.join(back, ["conv_id", "dep"], "left").select(
+        *key, F.coalesce("to", "dep").alias("to"), F.coalesce("dist", F.lit(0)).alias("dist"),
+        F.lit(None).cast("int").alias("level")), "open", written)
+    settled = new = materialize(roots, "roots", written)
     while not open_.isEmpty():
-        left = open_.join(new.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_anti").select(*key, "dep")
-        left = materialize(left, "open", written)
-        new = materialize(open_.select(*key).distinct().join(left.select(*key).distinct(), key, "left_anti"), "settled")
+        came = new.select("conv_id", F.col("call_id").alias("to"), F.col("level").alias("came"))
+        open_ = materialize(open_.join(came, ["conv_id", "to"], "left").select(
+            *key, "to", "dist", F.coalesce("level", F.col("came") + F.col("dist")).alias("level")), "open", written)
+        new = materialize(open_.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.count("level").alias("have"),
+                                                  (F.max("level") + 1).alias("level"))
+                          .where("n = have").select(*key, "level"), "settled", written)
         if new.isEmpty():
             break
-        level += 1
-        part = new.withColumn("level", F.lit(level))
-        settled, open_ = part if settled is None else settled.union(part), left
-    first = materialize(first, "first")
-    out = out.join(first, key, "left")
-    if settled is not None:
-        out = out.join(settled, key, "left")
-    else:
-        out = out.withColumn("level", F.lit(None).cast("int"))
-    return out.select(*key, "unknown", F.when(F.col("waits").isNull(), 0).otherwise(F.col("level")).alias("level"))
+        settled = settled.union(new)
+        open_ = open_.join(new.select(*key), key, "left_anti")
+    ends = settled.select("conv_id", F.col("call_id").alias("to"), "level")
+    chained = hop.join(ends, ["conv_id", "to"]).select(*key, (F.col("level") + F.col("dist")).alias("level"))
+    out = calls.select(*key).join(unknown, key, "left").join(settled.union(chained), key, "left")
+    out = materialize(out.select(*key, F.coalesce("unknown", F.lit(False)).alias("unknown"), "level"), "levels")
+    drop_written(spark, written)
+    return out
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import numpy as np
 
@@ -125,3 +126,32 @@ def test_conversations_become_calls(spark):
         [(0, "linked", True)] * 3
     assert json.loads(out[1, "call_4"].record)["result"] == "say 1 5"
     assert out[9, "call_2"].errors == ["$.text: minLength"] and out[9, "call_2"].status == "pending"
+
+
+def test_levels_are_dependency_depths(spark):
+    rng = random.Random(11)
+    after = {(1, f"c{i:02}"): [f"c{i - 1:02}"] if i else [] for i in range(40)}  # a chain, in turn order
+    after |= {(2, f"c{i:02}"): [f"c{i + 1:02}"] if i < 20 else [] for i in range(21)}  # against it
+    after |= {(3, f"c{i:02}"): [f"c{j:02}" for j in rng.sample(range(i), min(i, rng.randint(0, 3)))] for i in range(40)}
+    after |= {(4, "a"): ["b"], (4, "b"): ["c"], (4, "c"): ["a"], (4, "d"): ["c"], (4, "e"): ["d", "f"], (4, "f"): [],
+              (4, "g"): ["g"], (4, "h"): ["f", "lost"], (4, "i"): ["h"], (4, "j"): ["i", "f"], (4, "k"): ["e"]}
+
+    def depth(conv, cid, above=()):
+        if cid in above:
+            return None
+        below = [depth(conv, d, (*above, cid)) for d in after[conv, cid] if (conv, d) in after]
+        return None if None in below else max(below, default=-1) + 1
+
+    rows = [(conv, int(re.sub(r"\D", "", cid) or 0), cid, "t", "{}", deps) for (conv, cid), deps in after.items()]
+    rng.shuffle(rows)
+    calls = spark.createDataFrame(rows, "conv_id long, turn long, call_id string, name string, arguments string, after array<string>")
+    results = spark.createDataFrame([], "conv_id long, turn long, call_id string, content string")
+    got = {(r.conv_id, r.call_id): r.level for r in tool_calls.link_calls(calls, results, {"t": {}}).collect()}
+    assert got == {k: depth(*k) for k in after}
+
+
+def test_levels_of_conversations(spark):
+    rows = [(1, t, "user" if t % 2 else "assistant", f"say {t}") for t in range(2, 40)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    out = tool_calls.link_calls(*tool_calls.calls_of_conversations(turns), tool_calls.SCHEMAS)
+    assert {r.turn: r.level for r in out.collect()} == {t: t // 2 - 1 for t in range(2, 40, 2)}
