@@ -125,6 +125,22 @@ def test_substring_dedup_cuts_planted_passages(spark, odd_docs, no_docs):
     assert substring_dedup.dedup_substrings(no_docs).count() == 0
 
 
+def test_substring_dedup_cuts_short_units_and_whole_lines(spark):
+    rng = random.Random(6)
+    fruit = "Fresh Green Apples Ripe Red Cherries Sweet Plums Sour Limes Small Figs".split()
+    block = "\n".join(" ".join(rng.choices(fruit, k=3)) for _ in range(21))  # 63 words, each a unit of its own
+    line = prose(rng, 9)
+    chorus = "go home"
+    texts = [f"{prose(rng, 12)}\n{block}\n{prose(rng, 12)}" for _ in range(3)]
+    texts += [f"{prose(rng, 12)}\n{line}\n{prose(rng, 12)}" for _ in range(3)]
+    texts += [f"{prose(rng, 12)}\n" + f"{chorus}\n" * 40 + prose(rng, 12)]
+    texts += [" ".join(rng.choices(fruit, k=40)) for _ in range(2)]  # repeated units in an order of their own
+    rows = sorted(substring_dedup.dedup_substrings(frame(spark, texts)).collect())
+    cut = [[texts[r.doc_id][a:b] for a, b in r.removed] for r in rows]
+    assert cut[:6] == [[], [block], [block], [], [line], [line]]
+    assert rows[6].text.count(chorus) == 8 and cut[7:] == [[], []]
+
+
 def test_bpe_equals_library(spark, odd_docs, no_docs):
     from tokenizers import Tokenizer
     library = Tokenizer.from_file(bpe.vocabulary_path())
