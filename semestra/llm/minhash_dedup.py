@@ -143,13 +143,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS,
 
     own = (sets.select("node", F.explode("items").alias("item")).groupBy("item")
            .agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("m")).where("m = 1")
-           .groupBy("node").agg(F.count(F.lit(1)).alias("own")))
+           .groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+           # The shingles of a doc_id's texts together bound none of its classes.
+           .join(sets.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m = 1").select("node"), "node"))
     # Null where a doc_id has several texts: such a class answers in every bucket.
     bands_of = classes.groupBy("node").agg(F.when(F.count(F.lit(1)) == 1, F.min("bands")).alias("bands"))
     bucket = (bucket.join(bands_of, "node").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
               .where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
               .withColumn("comp", F.col("node")))
+    # A doc_id with several texts links the classes of all of them.
+    many = (made.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("doc_id")
+            .agg(F.min(F.struct(*sig)).alias("lo"), F.max(F.struct(*sig)).alias("hi")).where("lo != hi").select("doc_id"))
+    member = materialize(made.join(many, "doc_id", "left_semi").join(classes, sig).select("doc_id", "node").distinct(), "member", written)
     links = labels = None
+    if not member.isEmpty():
+        least = member.groupBy("doc_id").agg(F.min("node").alias("u"))
+        links = materialize(member.join(least, "doc_id").where("u != node").select("u", F.col("node").alias("v")).distinct(), "links", written)
+        labels = materialize(connected_components(links), "labels", written)
+        bucket = bucket.drop("comp").join(labels, "node", "left").select(
+            "key", "node", "n", "own", "bands", F.coalesce("component", "node").alias("comp"))
     turn = 0
     while True:
         # Buckets of one component have nothing left to compare.
@@ -160,7 +172,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS,
         most = LEADERS[min(turn, len(LEADERS) - 1)]
         turn += 1
         order = Window.partitionBy("key").orderBy("own", "node")
-        first = live.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
+        first = live.withColumn("r", F.dense_rank().over(order)).where(F.col("r") <= most)
         lead = materialize(first.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("own").alias("oa"),
                                         F.col("comp").alias("ca"), F.col("bands").alias("ba")), "lead", written)
         later = (F.col("own") > F.col("oa")) | ((F.col("own") == F.col("oa")) & (F.col("node") > F.col("a")))

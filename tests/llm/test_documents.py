@@ -74,6 +74,27 @@ def test_minhash_odd_rows(spark, odd_docs, no_docs):
     assert minhash_dedup.drop_near_duplicates(odd_docs).columns == odd_docs.columns
 
 
+def test_minhash_links_any_text_of_a_doc_id(spark):
+    rng = random.Random(8)
+
+    def altered(text):
+        w = text.split()
+        w[rng.randrange(5, len(w) - 5)] = "changed"
+        return " ".join(w)
+
+    x = [prose(rng, 90) for _ in range(8)]
+    rows = [(7, x[0]), (7, prose(rng, 300)), (9, altered(x[0])),  # near copy of one of two texts
+            (3, x[1]), (20, x[1]), (20, x[2]), (21, altered(x[2])),  # 3 and 21 meet in the texts of 20
+            (40, prose(rng, 200)), (50, x[7])] + [(30, t) for t in x[3:7]] + [(31 + i, altered(t)) for i, t in enumerate(x[3:7])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.defaultdict(set)
+    for r in minhash_dedup.near_duplicates(docs, 80).collect():
+        got[r.doc_id].add((r.component_id, r.kept))
+    part = {7: 7, 9: 7, 3: 3, 20: 3, 21: 3, 40: 40, 50: 50} | {i: 30 for i in range(30, 35)}
+    assert got == {i: {(c, i == c)} for i, c in part.items()}
+    assert {r.doc_id for r in minhash_dedup.drop_near_duplicates(docs).collect()} == {7, 3, 40, 50, 30}
+
+
 def test_sharding_equals_directory(spark, odd_docs, no_docs):
     rng = random.Random(3)
     texts = [prose(rng, rng.randint(1, 80)) for _ in range(300)] + ["z" * 9000]
