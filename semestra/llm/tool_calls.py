@@ -16,7 +16,8 @@ least (turn, content), with the number of rows kept in ``copies``; a call
 without result is 'pending', a result without call 'orphan'; a call in a cycle
 or behind one has a null level and an error, one that names an unknown call an
 error. Null
-identifiers link with nothing and are returned as errors. Arguments that are
+identifiers link with nothing and repeat nothing: each such row is returned as an
+error. Arguments that are
 null or no JSON object are invalid. Other columns are ignored.
 """
 
@@ -123,13 +124,18 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     (array of call ids); ``results``: conv_id, turn, call_id, content. Order a
     conversation by (level, turn, call_id)."""
     key = ["conv_id", "call_id"]
-    call = calls.groupBy(*key).agg(F.min(F.struct("turn", "name", "arguments", "after")).alias("c"),
-                                   F.count(F.lit(1)).alias("copies")).select(*key, "c.*", "copies")
+    whole = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+    call = calls.where(whole).groupBy(*key).agg(F.min(F.struct("turn", "name", "arguments", "after")).alias("c"),
+                                                F.count(F.lit(1)).alias("copies")).select(*key, "c.*", "copies")
     call = materialize(call.withColumn("after", F.coalesce("after", F.array().cast("array<string>"))), "calls")
-    result = results.groupBy(*key).agg(F.min(F.struct("turn", "content")).alias("r"), F.count(F.lit(1)).alias("n")) \
+    result = results.where(whole).groupBy(*key).agg(F.min(F.struct("turn", "content")).alias("r"), F.count(F.lit(1)).alias("n")) \
         .select(*key, F.col("r.turn").alias("result_turn"), F.col("r.content").alias("content"), "n")
-    named = call.where("conv_id IS NOT NULL AND call_id IS NOT NULL")
-    linked = (call.join(_levels(named), key, "left").join(result, key, "full_outer")
+    # Without an identifier no row is a copy of another: each is returned.
+    one = F.lit(1).cast("long")
+    nameless = calls.where(~whole).select(*key, "turn", "name", "arguments", one.alias("copies"))
+    stray = results.where(~whole).select(*key, F.col("turn").alias("result_turn"), "content", one.alias("n"))
+    linked = (call.join(_levels(call), key, "left").join(result, key, "full_outer")
+              .unionByName(nameless, allowMissingColumns=True).unionByName(stray, allowMissingColumns=True)
               .withColumn("status", F.when(F.col("copies").isNull(), "orphan").when(F.col("n").isNull(), "pending").otherwise("linked"))
               .withColumn("copies", F.coalesce("copies", "n")))
 

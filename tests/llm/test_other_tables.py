@@ -3,6 +3,7 @@
 import json
 import random
 import re
+from collections import Counter
 
 import numpy as np
 
@@ -155,3 +156,18 @@ def test_levels_of_conversations(spark):
     turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
     out = tool_calls.link_calls(*tool_calls.calls_of_conversations(turns), tool_calls.SCHEMAS)
     assert {r.turn: r.level for r in out.collect()} == {t: t // 2 - 1 for t in range(2, 40, 2)}
+
+
+def test_rows_without_identifier_are_all_returned(spark):
+    calls = spark.createDataFrame([(1, t, None, "t", json.dumps({"x": t % 3}), []) for t in range(5)] +
+                                  [(None, t, "a", "t", json.dumps({"x": t}), []) for t in range(4)] + [(1, 9, "a", "t", "{}", [])],
+                                  "conv_id long, turn long, call_id string, name string, arguments string, after array<string>")
+    results = spark.createDataFrame([(1, t, None, f"r{t}") for t in range(3)] + [(None, 1, "a", "s"), (None, 1, "a", "s"), (1, 10, "a", "ra")],
+                                    "conv_id long, turn long, call_id string, content string")
+    rows = tool_calls.link_calls(calls, results, {"t": {}}).collect()
+    assert len(rows) == 15 and {r.copies for r in rows} == {1}
+    bad = [r for r in rows if r.conv_id is None or r.call_id is None]
+    assert len(bad) == 14 and all(r.errors == ["$: no identifier"] and not r.valid and r.level is None for r in bad)
+    said = Counter((r.status, r.turn, json.loads(r.record).get("arguments", {}).get("x"), json.loads(r.record)["result"] or "") for r in bad)
+    assert said == Counter([("pending", t, t % 3, "") for t in range(5)] + [("pending", t, t, "") for t in range(4)]
+                          + [("orphan", t, None, f"r{t}") for t in range(3)] + [("orphan", 1, None, "s")] * 2)
