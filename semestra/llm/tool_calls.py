@@ -17,8 +17,11 @@ without result is 'pending', a result without call 'orphan'; a call in a cycle
 or behind one has a null level and an error, one that names an unknown call an
 error. Null
 identifiers link with nothing and repeat nothing: each such row is returned as an
-error. Arguments that are
-null or no JSON object are invalid. Other columns are ignored.
+error. Arguments that are null or no JSON object are invalid, and so are those
+nested deeper than the parser goes ('too deep'), numbers that are not finite
+(NaN, Infinity, 1e400: 'not finite') and texts with half a surrogate pair
+('lone surrogate'); their record has null arguments. 1.0 is an integer. Very long
+arguments are parsed whole. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,11 +42,44 @@ def canonical(value: Any) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def _finite(text: str) -> float:
+    value = float(text)
+    if value in (float("inf"), float("-inf")):
+        raise OverflowError(text)
+    return value
+
+
+def _no_constant(text: str) -> float:
+    raise OverflowError(text)
+
+
+def parse_arguments(text: str | None) -> tuple[dict | None, list[str]]:
+    """The JSON object of a text, or None and what is wrong with it."""
+    try:
+        value = json.loads(text, parse_float=_finite, parse_constant=_no_constant)
+        canonical(value).encode()
+    except OverflowError:
+        return None, ["$: not finite"]
+    except RecursionError:
+        return None, ["$: too deep"]
+    except UnicodeEncodeError:
+        return None, ["$: lone surrogate"]
+    except (TypeError, ValueError):
+        value = None
+    return (value, []) if isinstance(value, dict) else (None, ["$: type object"])
+
+
+def _is(value: Any, kind: str) -> bool:
+    if isinstance(value, bool):
+        return kind == "boolean"
+    return isinstance(value, _TYPES[kind]) or kind == "integer" and isinstance(value, float) and value.is_integer()
+
+
 def schema_errors(value: Any, schema: dict, at: str = "$") -> list[str]:
     """What of ``value`` breaks ``schema``, as 'path: rule' in a fixed order."""
     out = []
     kind = schema.get("type")
-    if kind and (not isinstance(value, _TYPES[kind]) or kind != "boolean" and isinstance(value, bool)):
+    if kind and not _is(value, kind):
         return [f"{at}: type {kind}"]
     if "enum" in schema and value not in schema["enum"]:
         out.append(f"{at}: enum")
@@ -149,15 +185,11 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
             record: dict[str, Any] = {"id": cid, "result": said}
             errors = [] if has(conv) and cid is not None else ["$: no identifier"]
             if state != "orphan":
-                try:
-                    args = json.loads(text)
-                except (TypeError, ValueError):
-                    args = None
+                args, wrong = parse_arguments(text)
                 if tool not in schemas:
                     errors.append("$: unknown tool")
-                if not isinstance(args, dict):
-                    errors.append("$: type object")
-                elif tool in schemas:
+                errors += wrong
+                if args is not None and tool in schemas:
                     errors += schema_errors(args, schemas[tool])
                 if not has(lv) and cid is not None and has(conv):
                     errors.append("$: unsettled dependency")

@@ -124,7 +124,7 @@ def test_conversations_become_calls(spark):
     turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, level string")
     out = {(r.conv_id, r.call_id): r for r in tool_calls.link_calls(*tool_calls.calls_of_conversations(turns), tool_calls.SCHEMAS).collect()}
     assert [(out[1, f"call_{t}"].level, out[1, f"call_{t}"].status, out[1, f"call_{t}"].valid) for t in (2, 4, 6)] == \
-        [(0, "linked", True)] * 3
+        [(0, "linked", True), (1, "linked", True), (2, "linked", True)]
     assert json.loads(out[1, "call_4"].record)["result"] == "say 1 5"
     assert out[9, "call_2"].errors == ["$.text: minLength"] and out[9, "call_2"].status == "pending"
 
@@ -171,3 +171,63 @@ def test_rows_without_identifier_are_all_returned(spark):
     said = Counter((r.status, r.turn, json.loads(r.record).get("arguments", {}).get("x"), json.loads(r.record)["result"] or "") for r in bad)
     assert said == Counter([("pending", t, t % 3, "") for t in range(5)] + [("pending", t, t, "") for t in range(4)]
                           + [("orphan", t, None, f"r{t}") for t in range(3)] + [("orphan", 1, None, "s")] * 2)
+
+
+def test_odd_arguments_are_errors_not_crashes(spark):
+    schemas = {"f": {"type": "object", "properties": {"x": {"type": "integer"}}}}
+    deep = '{"x":' * 200_000 + "1" + "}" * 200_000
+    texts = [deep, "[" * 200_000, '{"x":"\\ud800"}', '{"x":NaN}', '{"x":1e400}', '{"x":-Infinity}', '{"x":1.0}', '{"x":1.5}',
+             '{"x":"\\ud83d\\ude00"}', '{"y":"' + "long " * 200_000 + '"}', "", None, "7", '{"x":' + "9" * 5000 + "}"]
+    calls = spark.createDataFrame([(1, 5, f"c{i:02}", "f", t, []) for i, t in enumerate(texts)],
+                                  "conv_id long, turn long, call_id string, name string, arguments string, after array<string>")
+    results = spark.createDataFrame([(1, 5, f"c{i:02}", "�") for i in range(len(texts))],
+                                    "conv_id long, turn long, call_id string, content string")
+    got = {int(r.call_id[1:]): r for r in tool_calls.link_calls(calls, results, schemas).collect()}
+    assert [got[i].errors for i in range(6)] == [["$: too deep"]] * 2 + [["$: lone surrogate"]] + [["$: not finite"]] * 3
+    assert [got[i].valid for i in (6, 7, 8, 9)] == [True, False, False, True]
+    assert got[7].errors == got[8].errors == ["$.x: type integer"]
+    assert all(got[i].errors == ["$: type object"] for i in (10, 11, 12, 13))
+    for r in got.values():
+        json.loads(r.record)  # the record is JSON in any case
+
+
+def test_linking_equals_plain_code(spark):
+    rng = random.Random(21)
+    schemas = {"f": {"type": "object", "required": ["x"], "properties": {"x": {"type": "integer", "minimum": 0}}}}
+    calls, results = [], []
+    for conv in range(12):
+        for i in range(rng.randint(1, 9)):
+            named = [f"c{rng.randrange(9)}" for _ in range(rng.randint(0, 2))]
+            for _ in range(rng.choice([1, 1, 2])):
+                calls.append((conv, rng.randint(0, 3), f"c{i}", rng.choice(["f", "g"]), json.dumps({"x": rng.choice([1, -1, "a"])}), named))
+        for _ in range(6):
+            results.append((conv, rng.randint(0, 3), f"c{rng.randrange(11)}", rng.choice(["p", "q", None])))
+    out = {(r.conv_id, r.call_id): r for r in tool_calls.link_calls(
+        spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string, after array<string>"),
+        spark.createDataFrame(results, "conv_id long, turn long, call_id string, content string"), schemas).collect()}
+    first, said = {}, {}
+    for c in calls:
+        k = (c[0], c[2])
+        first[k] = min([c, first[k]], key=lambda r: (r[1], r[3], r[4], r[5])) if k in first else c
+    for r in results:
+        k, rank = (r[0], r[2]), (r[1], r[3] is not None, r[3] or "")  # null first
+        said[k] = min(rank, said.get(k, rank))
+
+    def depth(k, above=()):
+        if k in above:
+            return None
+        below = [depth((k[0], n), (*above, k)) for n in first[k][5] if (k[0], n) in first]
+        return None if None in below else max((d + 1 for d in below), default=0)
+
+    assert set(out) == set(first) | set(said)
+    for k, r in out.items():
+        assert r.status == ("orphan" if k not in first else "linked" if k in said else "pending")
+        if k in first:
+            _, turn, _, name, text, named = first[k]
+            assert (r.turn, r.name, r.level) == (turn, name, depth(k))
+            assert r.copies == sum((c[0], c[2]) == k for c in calls)
+            x = json.loads(text)["x"]
+            good = name == "f" and x == 1 and depth(k) is not None and all((k[0], n) in first for n in named)
+            assert r.valid == good
+            assert json.loads(r.record) == {"id": k[1], "result": said[k][2] if k in said and said[k][1] else None,
+                                            "arguments": {"x": x}, "name": name}
