@@ -8,25 +8,20 @@ query in DuckDB SQL, including the same derivation of the academic views.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semestra.operators.joins import latest_key_semi
 from semestra.plans import attendance as att
-from semestra.plans import catalog, demand, features, insights, model, reports, timetable
+from semestra.plans import catalog, demand, features, insights, model, model_reports, reports, timetable
 from semestra.sources import driver as drv
 from semestra.sources.files import parse_events
 from semestra.sources.store import upsert_latest
 
 try:
     from semestra.llm import queries as llm
-except ModuleNotFoundError as missing:
-    # The training-data package may be taken out, with the pipeline file.
-    if missing.name not in ("semestra.llm", "corpus_pipeline"):
-        raise
+except ImportError:  # the package, the pipeline file or a library they need is not there
     llm = None
 
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
@@ -59,23 +54,26 @@ def _students(spark: SparkSession, d: str) -> DataFrame:
     return catalog.normalize_students(drv.student_snapshots(spark, d))
 
 
+def _latest_students(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.normalize_students(drv.student_snapshots(spark, d, latest=True))
+
+
 def _courses(spark: SparkSession, d: str) -> DataFrame:
     return catalog.normalize_courses(drv.course_catalogue(spark, d))
 
 
 def q_normalized_courses(spark: SparkSession, d: str) -> DataFrame:
-    return _courses(spark, d).select(
+    return catalog.in_order(_courses(spark, d)).select(
         "materia_nombre", "semestre_materia", "carrera",
         F.array_join("prerequisitos", ",").alias("prerequisitos"))
 
 
 def q_potential_demand(spark: SparkSession, d: str) -> DataFrame:
-    return demand.potential_demand_history(_students(spark, d), _courses(spark, d))
+    return demand.by_term(demand.potential_demand_history(_students(spark, d), _courses(spark, d)))
 
 
 def q_current_demand(spark: SparkSession, d: str) -> DataFrame:
-    snapshot = latest_key_semi(_students(spark, d), "semestre_historico")
-    return demand.current_demand(snapshot, _courses(spark, d), min_demand=demand.MIN_DEMAND)
+    return demand.by_demand(demand.current_demand(_latest_students(spark, d), _courses(spark, d)))
 
 
 def q_model_table(spark: SparkSession, d: str) -> DataFrame:
@@ -91,19 +89,46 @@ def _model_ready(spark: SparkSession, d: str) -> DataFrame:
                                 drv.teachers(spark, d))
 
 
-def q_model_holdout_scores(spark: SparkSession, d: str) -> DataFrame:
-    # M1-M6 + M8: fit indexer + assembler + GBT on a hash split of
-    # model_ready (fixed parameters here; train_model also runs the grid
-    # search), score the held-out sections.
-    from semestra.session import materialize
+def _training_rows(spark: SparkSession, d: str) -> DataFrame:
     # Written once: the indexer fit, the boosting passes and the scoring read
     # the table instead of recomputing the feature pipeline.
-    mt = materialize(model.training_frame(_model_ready(spark, d)).drop("horario_visual"),
-                     "model_ready")
-    train, test = model.hash_split(mt, "grupo_id")
-    fitted = model.train_model(train, grid=False, depth=[5], iters=[20])
-    return model.score_candidates(fitted, test).select(
-        "grupo_id", model.LABEL, "prediction", "score_predicho")
+    from semestra.session import materialize
+    return materialize(model.training_frame(_model_ready(spark, d)).drop("horario_visual"), "model_ready")
+
+
+def q_model_holdout_scores(spark: SparkSession, d: str) -> DataFrame:
+    # M1-M6: held-out sections scored by a model of fixed parameters (the grid is model_grid).
+    # "igual": the saved and loaded model predicts the same.
+    return model_reports.reloaded_scores(_training_rows(spark, d)).select(
+        "grupo_id", model.LABEL, "prediction", "score_predicho", "igual")
+
+
+def q_model_features(spark: SparkSession, d: str) -> DataFrame:
+    return model_reports.feature_table(_training_rows(spark, d))
+
+
+def q_model_folds(spark: SparkSession, d: str) -> DataFrame:
+    return model_reports.fold_sizes(_training_rows(spark, d))
+
+
+def q_model_grid(spark: SparkSession, d: str) -> DataFrame:
+    return model_reports.grid_report(_training_rows(spark, d))
+
+
+def q_model_importances(spark: SparkSession, d: str) -> DataFrame:
+    return model_reports.importances(_training_rows(spark, d))
+
+
+def q_model_timetable(spark: SparkSession, d: str) -> DataFrame:
+    # Q13: the timetable in the order of a saved and loaded model's scores.
+    _, loaded, _ = model_reports.fitted_model(_training_rows(spark, d))
+    courses = _pooled_demand(spark, d)
+    pairs = (courses.select("materia_nombre", "carrera_materia")
+             .join(drv.qualified_teachers(spark, d).drop("score_predicho"), "materia_nombre")
+             .join(drv.teachers(spark, d), "profesor_id"))
+    quality, _ = features.teacher_quality(drv.sections(spark, d), drv.enrolments(spark, d))
+    return model_reports.model_timetable(loaded, courses, pairs, drv.rooms(spark, d), quality,
+                                         q_teacher_blocks(spark, d), _factors(spark, d)).drop("round")
 
 
 def q_next_snapshot(spark: SparkSession, d: str) -> DataFrame:
@@ -142,16 +167,16 @@ def q_teacher_extremes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _attendance_joined(spark: SparkSession, d: str) -> DataFrame:
-    # The records travel as JSON text lines and are parsed back with the
-    # fixed schema, then deduplicated (D10) and joined to their sections.
-    raw = drv.attendance_events(spark, d)
-    lines = raw.select(F.to_json(F.struct(*raw.columns)).alias("value"))
-    events = att.dedupe_events(parse_events(lines))
-    return att.events_with_sections(events, drv.attendance_sections(spark, d))
+    # Deduplicated (D10) and joined to their sections.
+    return att.events_with_sections(att.dedupe_events(drv.attendance_events(spark, d)),
+                                    drv.attendance_sections(spark, d))
 
 
 def q_attendance_by_teacher(spark: SparkSession, d: str) -> DataFrame:
-    return att.attendance_stats(_attendance_joined(spark, d))
+    # The records travel as JSON text lines and are parsed back with the fixed schema.
+    raw = drv.attendance_events(spark, d)
+    events = parse_events(raw.select(F.to_json(F.struct(*raw.columns)).alias("value")))
+    return att.attendance_stats(att.events_with_sections(att.dedupe_events(events), drv.attendance_sections(spark, d)))
 
 
 def q_attendance_by_hour(spark: SparkSession, d: str) -> DataFrame:
@@ -160,14 +185,14 @@ def q_attendance_by_hour(spark: SparkSession, d: str) -> DataFrame:
 
 def _stream_counts(spark: SparkSession, d: str) -> DataFrame:
     # Run the stream over every event file present (availableNow).
-    from semestra.session import ensure_checkpoint_dir
+    from semestra.session import scratch_path
     from semestra.streaming import attendance as stream
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/w1-{uuid.uuid4().hex}"
+    base = scratch_path(spark, "w1")
     q = stream.run_attendance_stream(drv.attendance_event_stream(spark, d),
                                      drv.attendance_sections(spark, d), f"{base}/counts",
                                      f"{base}/checkpoint")
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/counts")
+    return stream.read_counts(spark, f"{base}/counts")
 
 
 def q_attendance_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -187,14 +212,20 @@ def q_latest_event_per_user(spark: SparkSession, d: str) -> DataFrame:
     return upsert_latest(log, ["user_id"], ["ts", "event_id"]).drop("op", "ts")
 
 
-def _scored_candidates(spark: SparkSession, d: str) -> DataFrame:
-    snapshot = latest_key_semi(_students(spark, d), "semestre_historico")
-    courses = demand.current_demand(snapshot, _courses(spark, d)) \
+def _pooled_demand(spark: SparkSession, d: str) -> DataFrame:
+    return demand.current_demand(_latest_students(spark, d), _courses(spark, d)) \
         .withColumn("room_pool", F.pmod(drv.brand_number(F.col("materia_nombre")), F.lit(5)))
-    q = drv.qualified_teachers(spark, d)
-    pairs = (courses.select("materia_nombre", "carrera_materia").join(q, "materia_nombre")
-             .join(drv.teachers(spark, d), "profesor_id"))
-    return timetable.candidate_sections(courses, pairs, drv.rooms(spark, d))
+
+
+def _offers(spark: SparkSession, d: str) -> DataFrame:
+    """Courses in demand with their qualified teachers, scored; the room pool of each course."""
+    return (_pooled_demand(spark, d).join(drv.qualified_teachers(spark, d), "materia_nombre")
+            .join(drv.teachers(spark, d), "profesor_id"))
+
+
+def _factors(spark: SparkSession, d: str) -> DataFrame:
+    return att.attendance_stats(_attendance_joined(spark, d)) \
+        .withColumn("profesor_id", F.col("profesor_id").cast("long"))
 
 
 def q_teacher_blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -206,8 +237,7 @@ def q_teacher_block_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_sections_needed(spark: SparkSession, d: str) -> DataFrame:
-    snapshot = latest_key_semi(_students(spark, d), "semestre_historico")
-    return timetable.sections_plan(demand.current_demand(snapshot, _courses(spark, d)))
+    return timetable.sections_plan(demand.current_demand(_latest_students(spark, d), _courses(spark, d)))
 
 
 def q_hour_bias_chart(spark: SparkSession, d: str) -> DataFrame:
@@ -215,10 +245,8 @@ def q_hour_bias_chart(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_timetable(spark: SparkSession, d: str) -> DataFrame:
-    stats = att.attendance_stats(_attendance_joined(spark, d)) \
-        .withColumn("profesor_id", F.col("profesor_id").cast("long"))
-    out, _ = timetable.greedy_timetable(_scored_candidates(spark, d), q_teacher_blocks(spark, d),
-                                        stats, max_sections=timetable.MAX_SECTIONS)
+    out, _ = timetable.rank_join_timetable(_offers(spark, d), drv.rooms(spark, d),
+                                           blocks=q_teacher_blocks(spark, d), attendance=_factors(spark, d))
     return out.drop("round")
 
 
@@ -236,6 +264,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "current_demand": q_current_demand,
         "model_table": q_model_table,
         "model_holdout_scores": q_model_holdout_scores,
+        "model_features": q_model_features,
+        "model_folds": q_model_folds,
+        "model_grid": q_model_grid,
+        "model_importances": q_model_importances,
+        "model_timetable": q_model_timetable,
         "next_snapshot": q_next_snapshot,
         "live_context": q_live_context,
         "enrolment_trend": q_enrolment_trend,
@@ -353,7 +386,6 @@ walk AS (
              c.demanda - coalesce(CAST(list_sum(list_transform(list_filter(w.placed, lambda x: x.ck = c.ck),
                                                                lambda x: x.seats)) AS BIGINT), 0) AS left_
       FROM walk w JOIN cand c ON c.rk > w.rk
-      WHERE w.n < 100
     )
     WHERE left_ > 0 AND NOT list_contains(used, t) AND NOT list_contains(used, r)
     ORDER BY rk LIMIT 1
@@ -379,6 +411,53 @@ SELECT hora_inicio_promedio,
 FROM j GROUP BY hora_inicio_promedio"""
 
 
+_MODEL_ROWS = _W("sec", "enr", "tea", "stu", "crs") + "," + _DEMAND_SQL + """,
+cnt AS (
+  SELECT grupo_id, count(*) AS ni, count(CASE WHEN calificacion_final >= 70 THEN 1 END) AS na
+  FROM enr WHERE """ + _NOT_DROPPED + """ GROUP BY grupo_id
+),
+pt AS (
+  SELECT s.profesor_id,
+         CASE WHEN count(e.alumno_id) > 0 THEN sum(e.calificacion_final) / count(e.alumno_id)
+              ELSE 0.0 END AS q
+  FROM enr e JOIN sec s ON e.grupo_id = s.grupo_id WHERE """ + _NOT_DROPPED + """
+  GROUP BY s.profesor_id
+),
+f AS (
+  SELECT s.*, coalesce(c.ni, 0) AS ni, coalesce(c.na, 0) AS na,
+         coalesce(d.demanda_potencial, 0) AS dp, coalesce(pt.q, 0.0) AS q,
+         coalesce(t.nombre_profesor, 'Profesor Desconocido') AS nombre_profesor
+  FROM sec s LEFT JOIN cnt c ON s.grupo_id = c.grupo_id
+  LEFT JOIN dem d ON s.materia_nombre = d.materia_nombre AND s.carrera = d.carrera
+                 AND s.semestre_historico = d.periodo_historico
+  LEFT JOIN pt ON s.profesor_id = pt.profesor_id
+  LEFT JOIN tea t ON s.profesor_id = t.profesor_id
+),
+mx AS (SELECT CASE WHEN max(dp) > 0 THEN max(dp) ELSE 1 END AS m FROM f),
+g AS (
+  SELECT f.*,
+         CASE WHEN cupo_ofrecido > 0 THEN ni / cupo_ofrecido ELSE 0.0 END AS uc,
+         CASE WHEN ni > 0 THEN na / ni ELSE 0.0 END AS ta,
+         CASE WHEN conflicto_recurso_detectado = 'True' THEN 1 ELSE 0 END AS tc,
+         CASE WHEN dp > 0 THEN dp / mx.m ELSE 0.0 END AS dpf
+  FROM f, mx
+)"""
+
+# M1-M3: index by frequency in the training part (ties by name), features, split and fold.
+_MODEL_SPLIT = """,
+m AS (
+  SELECT grupo_id, materia_nombre, (uc + ta + dpf + q / 100.0 + 0.0 - tc) / 5.0 AS objetivo, q AS X_Cp_Profesor,
+         dpf AS X_Factor_Demanda_Normalizado, CAST(cupo_ofrecido AS DOUBLE) AS X_capacidad_salon,
+         CAST(hora_inicio_promedio AS DOUBLE) AS X_Hora_Inicio, coalesce(CAST(materia_semestre AS DOUBLE), 1.0) AS X_Semestre_Num,
+         """ + model_reports.SPLIT_SQL + """ AS parte, """ + model_reports.FOLD_SQL + """ AS fold
+  FROM g
+),
+courses AS (
+  SELECT materia_nombre, row_number() OVER (ORDER BY count(*) DESC, materia_nombre) - 1 AS idx
+  FROM m WHERE parte = 'train' AND materia_nombre IS NOT NULL GROUP BY materia_nombre
+)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "bottleneck_courses": _W("sec", "enr") + """
@@ -436,37 +515,7 @@ FROM cur s JOIN crs c ON s.carrera = c.carrera AND s.semestre_actual >= c.semest
 WHERE s.estado = 'Activo' AND list_has_all(s.materias_aprobadas, c.prerequisitos)
   AND NOT list_contains(s.materias_aprobadas, c.materia_nombre)
 GROUP BY ALL HAVING count(*) >= 15""",
-        "model_table": _W("sec", "enr", "tea", "stu", "crs") + "," + _DEMAND_SQL + """,
-cnt AS (
-  SELECT grupo_id, count(*) AS ni, count(CASE WHEN calificacion_final >= 70 THEN 1 END) AS na
-  FROM enr WHERE """ + _NOT_DROPPED + """ GROUP BY grupo_id
-),
-pt AS (
-  SELECT s.profesor_id,
-         CASE WHEN count(e.alumno_id) > 0 THEN sum(e.calificacion_final) / count(e.alumno_id)
-              ELSE 0.0 END AS q
-  FROM enr e JOIN sec s ON e.grupo_id = s.grupo_id WHERE """ + _NOT_DROPPED + """
-  GROUP BY s.profesor_id
-),
-f AS (
-  SELECT s.*, coalesce(c.ni, 0) AS ni, coalesce(c.na, 0) AS na,
-         coalesce(d.demanda_potencial, 0) AS dp, coalesce(pt.q, 0.0) AS q,
-         coalesce(t.nombre_profesor, 'Profesor Desconocido') AS nombre_profesor
-  FROM sec s LEFT JOIN cnt c ON s.grupo_id = c.grupo_id
-  LEFT JOIN dem d ON s.materia_nombre = d.materia_nombre AND s.carrera = d.carrera
-                 AND s.semestre_historico = d.periodo_historico
-  LEFT JOIN pt ON s.profesor_id = pt.profesor_id
-  LEFT JOIN tea t ON s.profesor_id = t.profesor_id
-),
-mx AS (SELECT CASE WHEN max(dp) > 0 THEN max(dp) ELSE 1 END AS m FROM f),
-g AS (
-  SELECT f.*,
-         CASE WHEN cupo_ofrecido > 0 THEN ni / cupo_ofrecido ELSE 0.0 END AS uc,
-         CASE WHEN ni > 0 THEN na / ni ELSE 0.0 END AS ta,
-         CASE WHEN conflicto_recurso_detectado = 'True' THEN 1 ELSE 0 END AS tc,
-         CASE WHEN dp > 0 THEN dp / mx.m ELSE 0.0 END AS dpf
-  FROM f, mx
-)
+        "model_table": _MODEL_ROWS + """
 SELECT (uc + ta + dpf + q / 100.0 + 0.0 - tc) / 5.0 AS Y_TOO_Historica,
        grupo_id, materia_id AS X_materia_id, carrera AS carrera_visual, semestre_historico,
        profesor_id AS X_profesor_id, uc AS X_Utilizacion_Cupo, tc AS X_Tasa_Conflicto,
@@ -476,6 +525,12 @@ SELECT (uc + ta + dpf + q / 100.0 + 0.0 - tc) / 5.0 AS Y_TOO_Historica,
        salon_id AS salon_id_visual, CAST(dp AS BIGINT) AS demanda_raw_historica,
        nombre_profesor AS profesor_nombre_visual
 FROM g""",
+        "model_features": _MODEL_ROWS + _MODEL_SPLIT + """
+SELECT grupo_id, parte, fold, objetivo, X_Cp_Profesor, X_Factor_Demanda_Normalizado, X_capacidad_salon, X_Hora_Inicio,
+       X_Semestre_Num, CAST(coalesce(idx, (SELECT count(*) FROM courses)) AS DOUBLE) AS X_Materia_Index
+FROM m LEFT JOIN courses USING (materia_nombre)""",
+        "model_folds": _MODEL_ROWS + _MODEL_SPLIT + """
+SELECT parte, fold, count(*) AS n FROM m GROUP BY ALL""",
         "next_snapshot": _W("stu", "crs") + """,
 tot AS (SELECT carrera, count(*) AS total FROM crs GROUP BY carrera),
 x AS (

@@ -11,11 +11,6 @@ from pyspark.sql import functions as F
 from semestra.functions.numeric import PASS_GRADE, safe_ratio
 
 
-def count_per_group(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame:
-    """A1."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-
-
 def count_if(cond: Column) -> Column:
     """A2/A9 building block: one-pass conditional count."""
     return F.count(F.when(cond, F.lit(1)))
@@ -36,19 +31,6 @@ def pass_rate(grade: Column) -> Column:
     return mean_of_flag(grade >= PASS_GRADE)
 
 
-def sum_of_flags(flag: Column) -> Column:
-    """A3: number of true flags; groups whose sum is 0 are kept."""
-    return F.sum(flag.cast("int"))
-
-
-def count_having(df: DataFrame, keys: Sequence[str], min_count: int,
-                 name: str = "n") -> DataFrame:
-    """A4: grouped count kept when >= min_count, sorted descending."""
-    return (count_per_group(df, keys, name)
-            .filter(F.col(name) >= min_count)
-            .orderBy(F.desc(name), *keys))
-
-
 def two_level_mean(df: DataFrame, inner_keys: Sequence[str], outer_keys: Sequence[str],
                    value: str, count_col: str | None = None,
                    prefix: str = "") -> tuple[DataFrame, DataFrame]:
@@ -70,16 +52,6 @@ def two_level_mean(df: DataFrame, inner_keys: Sequence[str], outer_keys: Sequenc
     return inner, outer
 
 
-def global_max(df: DataFrame, col: str, default: float = 1.0) -> Column:
-    """The table-wide maximum as a literal, <= 0 or null -> default.
-
-    One scalar aggregate job (map-side partial max, one value to the driver);
-    callers pass a small pre-aggregated frame where they can.
-    """
-    m = df.agg(F.max(col)).first()[0]
-    return F.lit(m if m is not None and m > 0 else default)
-
-
 def distinct_count(df: DataFrame, keys: Sequence[str], col: str, name: str) -> DataFrame:
     """Exact distinct count per group (Spark plans it as a two-level
     aggregate: distinct (keys, col) first, so no set is built per group)."""

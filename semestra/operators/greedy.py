@@ -18,8 +18,9 @@ of its course, so every round accepts at least one section.
 
 Each round is two grouped minima over the live set, joins against per-round
 tables and a window over the free prefix only (bounded by the number of
-room-slots); the live set is checkpointed to the cluster's checkpoint folder
-every round so lineage never grows and a lost executor only repeats a round.
+room-slots). A round writes its accepted sections; the live set is written anew
+every few rounds and is the last one less what was accepted since, so lineage
+never grows and a lost executor only repeats a round.
 
 The first N accepted by rank are exactly the sequential loop's first N. Once
 N are accepted, live candidates ranked after the N-th accepted one can no
@@ -41,10 +42,16 @@ from semestra.session import drop_written, ensure_checkpoint_dir, materialize
 log = logging.getLogger(__name__)
 
 
+def score_order(score_col: str) -> F.Column:
+    """Score descending as a number, smaller first; null and NaN scores last."""
+    last = F.lit(float("inf"))
+    return F.coalesce(F.nanvl(-F.col(score_col).cast("double"), last), last)
+
+
 def rank_key(score_col: str, key_cols: Sequence[str]) -> F.Column:
     """Strict total order (D13): score descending, null scores last, then a hash of the keys
     (spreads ties so rounds stay few), then the keys themselves."""
-    return F.struct(F.coalesce(-F.col(score_col).cast("double"), F.lit(float("inf"))).alias("s"),
+    return F.struct(score_order(score_col).alias("s"),
                     F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols])).alias("h"),
                     *[F.col(c).alias(f"k{i}") for i, c in enumerate(key_cols)])
 
@@ -54,7 +61,9 @@ def _struct_literal(value, dtype: T.StructType) -> F.Column:
                       for i, f in enumerate(dtype.fields)])
 
 
-# Fractions of the candidate ranks tried as prefixes when a cap is set.
+REWRITE = 4  # rounds between two writes of the live set
+# Fractions of the candidate ranks tried as prefixes when a cap is set. They
+# decide only how much is looked at: results are those of the whole table.
 PREFIX_FRACTIONS = [1e-6, 1e-5, 1e-4, 1e-3, 1e-2, 0.05, 0.2, 0.5]
 
 
@@ -118,32 +127,32 @@ def greedy_select(candidates: DataFrame, course_cols: Sequence[str], teacher_col
             break
         prev = t
 
+    out = finish(state, candidates.drop("_s"), rk, max_sections)
+    drop_written(spark, scratch)
+    return out, state.rounds
+
+
+def finish(state: _State, candidates: DataFrame, rk: str, max_sections: int | None) -> DataFrame:
+    """The accepted sections with all columns of ``candidates``, ``seats``,
+    ``round`` and ``_ord``, written as a table of their own (at most N rows, or
+    one per room-slot); the candidates and round states are scratch."""
     if not state.accepted:
-        empty = candidates.limit(0).withColumn("seats", F.lit(0).cast("long")) \
-            .withColumn("round", F.lit(0)).withColumn("_ord", F.lit(0))
-        empty = materialize(empty.drop("_s"), "timetable")
-        drop_written(spark, scratch)
-        return empty, state.rounds
+        return materialize(candidates.limit(0).withColumn("seats", F.lit(0).cast("long"))
+                           .withColumn("round", F.lit(0)).withColumn("_ord", F.lit(0)), "timetable")
     acc = _union(state.accepted)
     if max_sections is not None:
         acc = acc.orderBy(rk).limit(max_sections)
     loop_cols = set(acc.columns)
     written = _union(state.payload)
-    payload = [c for c in written.columns if c not in loop_cols or c == rk]
+    payload = [c for c in candidates.columns if c not in loop_cols or c == rk]
     acc = acc.join(written.select(*payload), rk)
-    # At most max_sections rows (or the number of room-slots without a cap),
-    # so one ordered window over them is bounded.
-    acc = acc.withColumn("_ord", F.row_number().over(Window.orderBy(rk))).drop("_s")
-    # The result (at most N rows, or one per room-slot) is written on its own;
-    # the candidate table and round states are scratch and are deleted.
-    acc = materialize(acc, "timetable")
-    drop_written(spark, scratch)
-    return acc, state.rounds
+    # Bounded by the cap or the number of room-slots: one ordered window.
+    return materialize(acc.withColumn("_ord", F.row_number().over(Window.orderBy(rk))), "timetable")
 
 
 class _State:
-    """Decisions so far: accepted sections (written tables), remaining demand
-    per course, rounds run, and the written candidate slices."""
+    """Decisions so far: accepted sections (written tables), the demand per
+    course, rounds run, and the written candidate slices."""
 
     def __init__(self, courses: DataFrame, scratch: list[str]):
         self.courses = courses
@@ -153,6 +162,14 @@ class _State:
         self.n_accepted = 0
         self.rounds = 0
 
+    def remaining(self, course_cols: Sequence[str]) -> DataFrame:
+        """course_cols, _remaining: demand less the seats given so far."""
+        if not self.accepted:
+            return self.courses
+        taken = _union(self.accepted).groupBy(*course_cols).agg(F.sum("seats").alias("_taken"))
+        return self.courses.join(taken, on=list(course_cols), how="left").select(
+            *course_cols, (F.col("_remaining") - F.coalesce(F.col("_taken"), F.lit(0))).alias("_remaining"))
+
 
 def _rounds(state: _State, candidates: DataFrame, course_cols: list[str], teacher_col: str,
             room_col: str, slot_col: str, rk: str, capacity_col: str,
@@ -164,7 +181,7 @@ def _rounds(state: _State, candidates: DataFrame, course_cols: list[str], teache
     loop_cols = list(dict.fromkeys(course_cols + [teacher_col, room_col, slot_col,
                                                   capacity_col, rk]))
     live = candidates.select(*loop_cols).join(
-        state.courses.filter(F.col("_remaining") > 0).select(*course_cols),
+        state.remaining(course_cols).filter(F.col("_remaining") > 0).select(*course_cols),
         on=course_cols, how="left_semi")
     if state.accepted:
         done = _union(state.accepted)
@@ -172,16 +189,16 @@ def _rounds(state: _State, candidates: DataFrame, course_cols: list[str], teache
                 .join(done.select(*rs_keys), on=rs_keys, how="left_anti"))
         if max_sections is not None and state.n_accepted >= max_sections:
             live = live.filter(F.col(rk) < _struct_literal(_nth(done, rk, max_sections), rk_type))
-    live = materialize(live, "live", state.scratch)
 
     # Every round on a non-empty live set accepts at least one section (the
     # first live candidate overall), so an empty round means nothing is live.
+    base, fresh = live, []  # ``live`` is ``base`` less what ``fresh`` decided
     while True:
         if state.rounds >= max_rounds:
             raise RuntimeError(f"the timetable isn't complete after {max_rounds} rounds")
         state.rounds += 1
         t0 = time.perf_counter()
-        courses = state.courses
+        courses = state.remaining(course_cols)
         ts_min = live.groupBy(*ts_keys).agg(F.min(rk).alias("_m_ts"))
         rs_min = live.groupBy(*rs_keys).agg(F.min(rk).alias("_m_rs"))
         tagged = (live.join(ts_min, ts_keys).join(rs_min, rs_keys)
@@ -210,23 +227,21 @@ def _rounds(state: _State, candidates: DataFrame, course_cols: list[str], teache
             break
         state.n_accepted += n_new
         state.accepted.append(winners)
+        fresh.append(winners)
         if len(state.accepted) >= 16:
             state.accepted = [materialize(_union(state.accepted), "accepted", state.scratch)]
 
-        taken = winners.groupBy(*course_cols).agg(F.sum("seats").alias("_taken"))
-        state.courses = materialize(
-            courses.join(taken, on=course_cols, how="left")
-            .select(*course_cols,
-                    (F.col("_remaining") - F.coalesce(F.col("_taken"), F.lit(0)))
-                    .alias("_remaining")), "courses", state.scratch)
-        served = state.courses.filter(F.col("_remaining") <= 0).select(*course_cols)
-        live = (live.join(winners.select(*ts_keys), on=ts_keys, how="left_anti")
-                .join(winners.select(*rs_keys), on=rs_keys, how="left_anti")
+        now = _union(fresh)
+        served = state.remaining(course_cols).filter(F.col("_remaining") <= 0).select(*course_cols)
+        live = (base.join(now.select(*ts_keys), on=ts_keys, how="left_anti")
+                .join(now.select(*rs_keys), on=rs_keys, how="left_anti")
                 .join(served, on=course_cols, how="left_anti"))
         if max_sections is not None and state.n_accepted >= max_sections:
             nth = _nth(_union(state.accepted), rk, max_sections)
             live = live.filter(F.col(rk) < _struct_literal(nth, rk_type))
-        live = materialize(live, "live", state.scratch)
+        if len(fresh) >= REWRITE:
+            base, fresh = materialize(live, "live", state.scratch), []
+            live = base
         log.info("greedy round %d: accepted %d in %.2fs", state.rounds, state.n_accepted,
                  time.perf_counter() - t0)
 

@@ -37,15 +37,19 @@ def normalize_courses(catalogues: Mapping[str, DataFrame] | DataFrame) -> DataFr
     one frame that already carries a ``carrera`` column. P1 clean text, P2
     common schema, P3 upper-case names, F4 prerequisite arrays, P4 career
     tag, U1 union by name, U3 one row per (name, prerequisites, career) with
-    a deterministic survivor, T1 order.
+    a deterministic survivor. ``in_order`` gives the listing's order (T1).
     """
     if isinstance(catalogues, DataFrame):
         merged = _clean_catalogue(catalogues, None)
     else:
         merged = union_all_by_name([_clean_catalogue(raw, career)
                                     for career, raw in catalogues.items()])
-    return (distinct_on(merged, ["materia_nombre", "prerequisitos", "carrera"])
-            .orderBy("semestre_materia", "materia_nombre", "carrera"))
+    return distinct_on(merged, ["materia_nombre", "prerequisitos", "carrera"])
+
+
+def in_order(courses: DataFrame) -> DataFrame:
+    """Q1 as it is listed: by semester, name and career."""
+    return courses.orderBy("semestre_materia", "materia_nombre", "carrera")
 
 
 def normalize_students(snapshots: DataFrame) -> DataFrame:
@@ -90,9 +94,7 @@ def next_snapshot(students: DataFrame, new_passes: DataFrame,
 
 def live_context(students: DataFrame, enrolments: DataFrame, sections: DataFrame) -> DataFrame:
     """Q19: enrolments of active students in sections of the latest term,
-    with the section's columns (J7 semi joins + left join)."""
+    with the section's columns (J7): one join with the latest term's sections."""
     active = students.filter(F.col("estado") == ACTIVE).select("alumno_id").distinct()
     current = latest_key_semi(sections, "semestre_historico")
-    ins = (enrolments.join(active, "alumno_id", "left_semi")
-           .join(current.select("grupo_id"), "grupo_id", "left_semi"))
-    return ins.join(current, "grupo_id", "left")
+    return enrolments.join(active, "alumno_id", "left_semi").join(current, "grupo_id")

@@ -62,10 +62,11 @@ def teacher_extremes(enrolments: DataFrame, sections: DataFrame, teachers: DataF
                      k: int = TOP_K, min_sections: int = MIN_SECTIONS) -> DataFrame:
     """Q10: teachers with more than ``min_sections`` sections: the k best and
     k worst by mean grade, tagged, unioned and sorted (ties by teacher id)."""
-    base = enrolment_base(enrolments.select("grupo_id", "calificacion_final"),
-                          sections.select("grupo_id", "profesor_id"))
-    per = base.groupBy("profesor_id").agg(
-        F.avg("calificacion_final").alias("calificacion_promedio"),
+    grade = F.col("calificacion_final").cast("string").try_cast("double")
+    # A row per section before the join; a teacher's mean is of all grades, not of sections.
+    graded = enrolments.groupBy("grupo_id").agg(F.sum(grade).alias("suma"), F.count(grade).alias("notas"))
+    per = graded.join(sections.select("grupo_id", "profesor_id"), "grupo_id").groupBy("profesor_id").agg(
+        F.try_divide(F.sum("suma"), F.sum("notas")).alias("calificacion_promedio"),
         F.count_distinct("grupo_id").alias("total_grupos_impartidos"))
     eligible = (per.filter(F.col("total_grupos_impartidos") > min_sections)
                 .join(teachers.select("profesor_id", "nombre_profesor"), "profesor_id", "inner"))

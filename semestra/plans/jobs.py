@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from semestra.functions.text import parse_name_list_loose
+from semestra.operators.ordering import numeric_text_order
 from semestra.plans import attendance as att
-from semestra.plans import catalog, demand, features, insights, model, timetable
+from semestra.plans import catalog, demand, features, insights, model, model_reports, timetable
 from semestra.session import materialize
 from semestra.sources import files
 
@@ -68,7 +69,7 @@ def etl_job(spark: SparkSession, raw_dir: str, out_dir: str) -> dict[str, DataFr
     raw = read_raw(spark, raw_dir)
     out = out_dir.rstrip("/")
     courses = catalog.normalize_courses(raw["catalogues"])
-    files.write_parquet(courses, f"{out}/materias_normalizadas")
+    files.write_parquet(catalog.in_order(courses), f"{out}/materias_normalizadas")
     courses = spark.read.parquet(f"{out}/materias_normalizadas")
 
     students = catalog.normalize_students(raw["snapshots"])
@@ -110,8 +111,8 @@ def training_job(spark: SparkSession, model_ready_path: str, model_path: str,
     n_test = test.count()
     rmse = model.evaluate(fitted, test) if n_test else float("nan")
     gbt = fitted.stages[-1]
-    fitted = model.train_model(mt, grid=False, depth=[gbt.getMaxDepth()], iters=[gbt.getMaxIter()],
-                               steps=[gbt.getStepSize()])
+    fitted = model.train_model(mt, grid=False, depth=[gbt.getOrDefault("maxDepth")], iters=[gbt.getOrDefault("maxIter")],
+                               steps=[gbt.getOrDefault("stepSize")])
     model.save_model(fitted, model_path)
     return TrainingResult(fitted, rmse, train.count(), n_test)
 
@@ -122,10 +123,9 @@ def prediction_job(spark: SparkSession, model_path: str, snapshot_path: str,
                    restrictions: DataFrame | None, out_dir: str,
                    max_sections: int | None = timetable.MAX_SECTIONS,
                    teacher_quality: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Current snapshot -> demand (Q11) -> candidate sections (Q12: teachers of
-    the course's department, rooms of its pool, five slots) -> model scores
-    (Q13) -> attendance factors (Q14) -> teacher blocks (Q15) -> greedy
-    timetable (G1) -> KPIs and feature importances (Q17). Writes JSON
+    """Current snapshot -> demand (Q11) -> teachers of the course's department,
+    rooms of its pool, five slots (Q12) -> model scores (Q13) -> attendance
+    factors (Q14) -> teacher blocks (Q15) -> greedy timetable by rank join (G1) -> KPIs and feature importances (Q17). Writes JSON
     documents of the bounded results to ``out_dir``."""
     fitted = model.load_model(model_path)
     snap = files.read_csv_plain(spark, snapshot_path, STUDENTS) \
@@ -138,8 +138,6 @@ def prediction_job(spark: SparkSession, model_path: str, snapshot_path: str,
         .withColumn("capacidad_base", F.col("capacidad_base").try_cast("int"))
     dem_pooled, rooms_pooled = timetable.lab_pools(dem, rooms)
     pairs = timetable.department_teacher_pairs(dem, teachers)
-    cands = timetable.candidate_sections(dem_pooled, pairs, rooms_pooled)
-    scored = model.score_candidates(fitted, model.serving_features(cands, teacher_quality))
 
     stats = by_hour = None
     if attendance_path:
@@ -149,18 +147,18 @@ def prediction_job(spark: SparkSession, model_path: str, snapshot_path: str,
         joined = materialize(joined, "attendance")
         stats, by_hour = att.attendance_stats(joined), att.attendance_by_hour(joined)
     blocks = timetable.restriction_blocks(restrictions) if restrictions is not None else None
-    plan, _ = timetable.greedy_timetable(scored, blocks, stats, max_sections=max_sections)
-    plan = materialize(plan, "timetable")
+    plan = materialize(model_reports.model_timetable(fitted, dem_pooled, pairs, rooms_pooled, teacher_quality,
+                                                     blocks, stats, max_sections), "timetable")
     kpis = timetable.schedule_kpis(plan)
     importance = model.feature_importance(spark, fitted)
 
     out = out_dir.rstrip("/")
-    files.write_json_document(plan.orderBy("id"), f"{out}/sugerencias_horario")
+    files.write_json_document(plan, f"{out}/sugerencias_horario", ["id"])
     files.write_json_document(kpis, f"{out}/model_metrics")
-    files.write_json_document(importance, f"{out}/top_features")
+    files.write_json_document(importance, f"{out}/top_features", [F.desc("importancia"), "feature"])
     result = {"demand": dem, "timetable": plan, "kpis": kpis, "importance": importance}
     if by_hour is not None:
-        files.write_json_document(by_hour, f"{out}/grafica_asistencia_por_hora")
+        files.write_json_document(by_hour, f"{out}/grafica_asistencia_por_hora", [numeric_text_order("hora_inicio_promedio")])
         result["attendance_by_hour"] = by_hour
         result["attendance_stats"] = stats
     return result

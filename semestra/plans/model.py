@@ -3,18 +3,21 @@ with the same fitted indexer (D9)."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from itertools import product
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from semestra.functions.numeric import cap_ratio, round_half_even, round_half_up
 from semestra.functions.text import first_start_hour
+from semestra.session import drop_written, materialize
 
 LABEL = "Y_TOO_Historica"
 # Model features in vector order and their display labels.
@@ -54,48 +57,93 @@ def training_frame(model_ready: DataFrame) -> DataFrame:
                                    F.lit(1.0))))
 
 
+def row_number_of(key: str, salt: object) -> Column:
+    """A number below 2**32 by md5 of a row key: the same in every engine, for
+    every partitioning and after a lost executor."""
+    text = F.concat_ws(":", F.col(key).cast("string"), F.lit(str(salt)))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
 def hash_split(df: DataFrame, key: str, train_fraction: float = 0.8,
                seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """M3: train/test split by a hash of the row key, so the split does not
-    change with partitioning or recomputation after a lost executor."""
-    bucket = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(1000))
+    """M3: train/test split by a hash of the row key."""
+    bucket = row_number_of(key, seed) % 1000
     cut = int(round(train_fraction * 1000))
     return df.filter(bucket < cut), df.filter(bucket >= cut)
 
 
-def _pipeline(gbt: GBTRegressor, course_col: str = "materia_nombre_visual") -> Pipeline:
-    indexer = StringIndexer(inputCol=course_col, outputCol="X_Materia_Index",
-                            handleInvalid="keep")                     # M1
-    assembler = VectorAssembler(inputCols=FEATURES, outputCol="features",
-                                handleInvalid="skip")                 # M2
-    return Pipeline(stages=[indexer, assembler, gbt])
+def with_fold(df: DataFrame, key: str, folds: int = FOLDS) -> DataFrame:
+    """``df`` with ``fold``: 0 to folds - 1 by a hash of the row key."""
+    return df.withColumn("fold", (row_number_of(key, "fold") % folds).cast("int"))
+
+
+def feature_stages(train: DataFrame, course_col: str = "materia_nombre_visual") -> PipelineModel:
+    """M1 and M2 fitted: the course index by frequency (ties by name, unknown
+    courses and nulls after the last) and the vector of the six features; rows
+    with a null feature are skipped."""
+    indexer = StringIndexer(inputCol=course_col, outputCol="X_Materia_Index", handleInvalid="keep")
+    assembler = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="skip")
+    return Pipeline(stages=[indexer, assembler]).fit(train)
+
+
+def _bins(stages: PipelineModel) -> int:
+    """A categorical feature needs a bin for each of its values, and one for others."""
+    return max(MIN_BINS, len(stages.stages[0].labels) + 2)
+
+
+def _booster(bins: int, depth: int, iters: int, step: float) -> GBTRegressor:
+    return GBTRegressor(featuresCol="features", labelCol=LABEL, seed=SEED, maxBins=bins,
+                        maxDepth=depth, maxIter=iters, stepSize=step)
+
+
+def grid_search(train: DataFrame, key: str = "grupo_id", folds: int = FOLDS, depth: Sequence[int] = GRID_DEPTH,
+                iters: Sequence[int] = GRID_ITER, steps: Sequence[float] = GRID_STEP,
+                parallelism: int = 4) -> list[dict]:
+    """M4: every grid point's RMSE on each fold (by row hash) and their mean,
+    best first.
+
+    Features are worked out once and written. Boosting adds a tree an iteration,
+    so a fit of the most iterations holds all shorter ones: one fit for each
+    depth, step and fold, scored after each number of iterations."""
+    spark = train.sparkSession
+    written: list[str] = []
+    stages = feature_stages(train)
+    table = materialize(with_fold(stages.transform(train), key, folds).select("features", LABEL, "fold"), "grid", written)
+    bins, longest = _bins(stages), max(iters)
+
+    def fit(point: tuple[int, float, int]) -> list[float]:
+        d, step, fold = point
+        fitted = _booster(bins, d, longest, step).fit(table.where(F.col("fold") != fold))
+        losses = fitted.evaluateEachIteration(table.where(F.col("fold") == fold), "squared")
+        return [math.sqrt(losses[n - 1]) for n in iters]
+
+    points = list(product(depth, steps, range(folds)))
+    pool = ThreadPool(min(parallelism, len(points)))
+    try:
+        found = dict(zip(points, pool.map(fit, points)))
+    finally:
+        pool.close()
+    drop_written(spark, written)
+    out = []
+    for d, step in product(depth, steps):
+        for k, n in enumerate(iters):
+            rmse = [found[d, step, f][k] for f in range(folds)]
+            out.append({"maxDepth": d, "maxIter": n, "stepSize": step, "folds": rmse, "rmse": sum(rmse) / folds})
+    return sorted(out, key=lambda p: (p["rmse"], p["maxDepth"], p["maxIter"]))
 
 
 def train_model(train: DataFrame, grid: bool = True, folds: int = FOLDS,
                 depth: Sequence[int] = GRID_DEPTH, iters: Sequence[int] = GRID_ITER,
-                steps: Sequence[float] = GRID_STEP, parallelism: int = 4) -> PipelineModel:
-    """M4 + M5: grid search with k-fold RMSE, then refit the best parameters
-    on every training row. Returns one PipelineModel (indexer, assembler,
-    GBT) so serving reuses the fitted course index."""
-    # A categorical feature needs a bin for each of its values, and one for others.
-    courses = train.agg(F.count_distinct("materia_nombre_visual")).first()[0]
-    bins = max(MIN_BINS, courses + 2)
-    gbt = GBTRegressor(featuresCol="features", labelCol=LABEL, seed=SEED, maxBins=bins)
+                steps: Sequence[float] = GRID_STEP, parallelism: int = 4, key: str = "grupo_id") -> PipelineModel:
+    """M4 + M5: grid search with k-fold RMSE, then one fit of the best
+    parameters on every training row. Returns one PipelineModel (indexer,
+    assembler, GBT) so serving reuses the fitted course index."""
     best = {"maxDepth": depth[0], "maxIter": iters[0], "stepSize": steps[0]}
     if grid and (len(depth) * len(iters) * len(steps) > 1):
-        params = (ParamGridBuilder().addGrid(gbt.maxDepth, list(depth))
-                  .addGrid(gbt.maxIter, list(iters)).addGrid(gbt.stepSize, list(steps)).build())
-        cv = CrossValidator(estimator=_pipeline(gbt), estimatorParamMaps=params,
-                            evaluator=rmse_evaluator(), numFolds=folds, seed=SEED,
-                            parallelism=parallelism)
-        cv_model = cv.fit(train)
-        scores = list(cv_model.avgMetrics)
-        chosen = params[scores.index(min(scores))]
-        best = {p.name: v for p, v in chosen.items()}
-    final = GBTRegressor(featuresCol="features", labelCol=LABEL, seed=SEED, maxBins=bins,
-                         maxDepth=best["maxDepth"], maxIter=best["maxIter"],
-                         stepSize=best["stepSize"])
-    return _pipeline(final).fit(train)
+        best = grid_search(train, key, folds, depth, iters, steps, parallelism)[0]
+    stages = feature_stages(train)
+    fitted = _booster(_bins(stages), best["maxDepth"], best["maxIter"], best["stepSize"]).fit(stages.transform(train))
+    return PipelineModel(stages=[*stages.stages, fitted])
 
 
 def rmse_evaluator() -> RegressionEvaluator:
@@ -155,3 +203,38 @@ def feature_importance(spark: SparkSession, model: PipelineModel,
     return (df.filter(F.col("value") > min_importance)
             .select("feature", round_half_even(F.col("value") * 100, 1).alias("importancia"))
             .orderBy(F.desc("importancia"), "feature"))
+
+
+_BUCKET_ROWS = 1000  # rows among which a feature is shuffled
+
+
+def permutation_importance(model: PipelineModel, rows: DataFrame, key: str = "grupo_id") -> DataFrame:
+    """M7 measured: for each feature its label, the RMSE on ``rows`` with the
+    feature shuffled, how much that is over the RMSE as it is, and the share of
+    the whole rise in percent (0 where shuffling does not hurt).
+
+    A feature is shuffled by handing each row the value of the next one in the
+    order of a hash of the key, in a circle within buckets of about
+    _BUCKET_ROWS rows; all features are rescored in one job."""
+    inputs = ["materia_nombre_visual" if f == "X_Materia_Index" else f for f in FEATURES]
+    buckets = max(1, rows.count() // _BUCKET_ROWS)
+    order = Window.partitionBy("_b").orderBy("_h", key)
+    values = F.struct(*inputs)
+    paired = (rows.select(key, LABEL, *inputs)
+              .withColumns({"_b": row_number_of(key, "bucket") % buckets, "_h": row_number_of(key, "order")})
+              .withColumn("_own", values)
+              .withColumn("_next", F.coalesce(F.lead("_own").over(order), F.first("_own").over(order))))
+    variants = [F.struct(F.lit(-1).alias("n"), *[F.col(f"_own.{c}").alias(c) for c in inputs])]
+    for n, f in enumerate(inputs):
+        variants.append(F.struct(F.lit(n).alias("n"), *[
+            F.col(f"_next.{c}" if c == f else f"_own.{c}").alias(c) for c in inputs]))
+    scored = model.transform(paired.select(LABEL, F.explode(F.array(*variants)).alias("v")).select(LABEL, "v.*"))
+    error = F.sqrt(F.avg((F.col(LABEL) - F.col("prediction")) ** 2))
+    per = scored.groupBy("n").agg(error.alias("rmse"))
+    names = F.element_at(F.array(*[F.lit(FEATURE_LABELS.get(f, f)) for f in FEATURES]), F.col("n") + 1)
+    seven = Window.partitionBy()  # of the seven rows
+    rise = (per.withColumn("base", F.max(F.when(F.col("n") == -1, F.col("rmse"))).over(seven)).where("n >= 0")
+            .select(names.alias("feature"), "rmse", (F.col("rmse") - F.col("base")).alias("rise")))
+    lifted = F.greatest("rise", F.lit(0.0))
+    total = F.sum(lifted).over(seven)
+    return rise.select("feature", "rmse", "rise", F.when(total > 0, round_half_even(lifted / total * 100, 1)).otherwise(F.lit(0.0)).alias("importancia"))

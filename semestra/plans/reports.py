@@ -7,8 +7,6 @@ the same report for DuckDB.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +16,10 @@ from semestra.functions import text as txt
 from semestra.operators.aggregates import shared_course_ids
 from semestra.operators.joins import drop_blocked, normalized_key_join
 from semestra.operators.ordering import first_n, union_all_by_name
-from semestra.plans import features, timetable
-from semestra.session import ensure_checkpoint_dir
+from semestra.plans import catalog, demand, features, timetable
+from semestra.session import scratch_path
 from semestra.sources import driver as drv
-from semestra.sources import files, store
+from semestra.sources import files, snapshots, store
 
 
 def _slot_of(key: str) -> F.Column:
@@ -116,15 +114,11 @@ def first_teachers(spark: SparkSession, d: str) -> DataFrame:
     return first_n(drv.teachers(spark, d), 20, "profesor_id")
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/semestra-{name}-{uuid.uuid4().hex}"
-
-
 def customers_by_csv(spark: SparkSession, d: str) -> DataFrame:
     """Customers written as CSV; the permissive reader's rows joined
     to the plain reader's text."""
     df = drv.read(spark, d, "customer", "c_custkey", "c_name", "c_acctbal", "c_mktsegment")
-    path = _scratch(spark, "csv")
+    path = scratch_path(spark, "csv")
     df.write.option("header", True).option("escape", '"').csv(path)
     typed = files.read_csv_permissive(spark, path, df.schema)
     plain = files.read_csv_plain(spark, path).select(F.col("c_custkey").cast("long").alias("c_custkey"),
@@ -135,15 +129,85 @@ def customers_by_csv(spark: SparkSession, d: str) -> DataFrame:
 def orders_by_json(spark: SparkSession, d: str) -> DataFrame:
     """Orders through partitioned Parquet, then JSON lines."""
     df = drv.read(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
-    parquet, lines = _scratch(spark, "parquet"), _scratch(spark, "json")
+    parquet, lines = scratch_path(spark, "parquet"), scratch_path(spark, "json")
     files.write_parquet(df, parquet, ["o_orderstatus"])
     files.write_json(files.read_parquet(spark, parquet), lines)
     return files.read_json_lines(spark, lines, df.schema)
 
 
+def orders_document(spark: SparkSession, d: str) -> DataFrame:
+    """Orders through one ordered JSON document."""
+    df = drv.read(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    path = scratch_path(spark, "document")
+    files.write_json_document(df, path, ["o_orderkey"])
+    return files.read_json_document(spark, path, df.schema)
+
+
+def store_merge(spark: SparkSession, d: str) -> DataFrame:
+    """The older half of the events resolved into a stored table, the
+    newer half merged into it, the table read back."""
+    log = drv.read(spark, d, "events", "event_id", "ts", "user_id", "event_type", "value") \
+        .withColumn("op", F.when(F.col("event_type") == "error", F.lit("delete")).otherwise(F.lit("put")))
+    cut = log.agg(F.timestamp_micros(F.floor((F.unix_micros(F.min("ts").cast("timestamp")) + F.unix_micros(F.max("ts").cast("timestamp"))) / 2))
+                  .alias("cut")).scalar()
+    path, key, order = scratch_path(spark, "store"), ["user_id"], ["ts", "event_id"]
+    older = store.upsert_latest(log.where(F.col("ts").cast("timestamp") < cut), key, order).select("user_id", "event_id", "event_type", "value")
+    store.write_store(older, path, key)
+    store.merge_store(log.where(F.coalesce(F.col("ts").cast("timestamp") >= cut, F.lit(True))), path, key, order)
+    return store.scan_store(spark, path)
+
+
+def term_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Student snapshots as one file a term, the first terms read, then the
+    new files only; the table read back."""
+    src, table = scratch_path(spark, "terms"), scratch_path(spark, "snapshots")
+    raw = drv.student_snapshots(spark, d)
+    raw = raw.select(*[F.col(c).cast("string").alias(c) for c in raw.columns])
+    schema = raw.drop("semestre_historico").schema
+    files.write_csv_by(raw, src, "semestre_historico")
+    snapshots.ingest_snapshots(spark, f"{src}/*_199[0-4]-*.csv", table, schema)
+    snapshots.ingest_snapshots(spark, f"{src}/*.csv", table, schema)
+    return catalog.normalize_students(snapshots.read_table(spark, table, schema)).select(
+        F.col("alumno_id").cast("long").alias("alumno_id"), "carrera", "estado", "semestre_actual", "semestre_historico",
+        F.size("materias_aprobadas").alias("n_aprobadas"))
+
+
+def name_rules(spark: SparkSession, d: str) -> DataFrame:
+    """department and room pool by title, names of a list in any form."""
+    c = drv.course_titles(spark, d)
+    return c.select("p_partkey", "titulo", sch.department_of("titulo", "carrera").alias("departamento"),
+                    sch.needs_lab("titulo").alias("laboratorio"), sch.is_lab_room("titulo").alias("sala_laboratorio"),
+                    F.array_join(txt.parse_name_list_loose("lista"), ",").alias("nombres"))
+
+
+def course_rooms(spark: SparkSession, d: str) -> DataFrame:
+    """courses in demand and the rooms of their pool: the demand
+    as a factor, the groups it takes, and the seats a group has in each room."""
+    students = catalog.normalize_students(drv.student_snapshots(spark, d, latest=True))
+    dem = demand.current_demand(students, catalog.normalize_courses(drv.course_catalogue(spark, d)))
+    size = F.when(F.col("semestre_materia") > num.SMALL_GROUP_SEMESTER, num.SMALL_GROUP).otherwise(num.LARGE_GROUP)
+    pool = F.pmod(drv.brand_number(F.col("materia_nombre")), F.lit(5)).alias("room_pool")
+    return (dem.select("*", size.alias("tamano"), pool).join(drv.rooms(spark, d), "room_pool")
+            .select("materia_nombre", "carrera_materia", "salon_id", num.cap_ratio("demanda_real").alias("factor_demanda"),
+                    num.sections_needed("demanda_real", "semestre_materia").alias("grupos"),
+                    num.effective_capacity("tamano", "capacidad_base").alias("capacidad_efectiva")))
+
+
+def student_load(spark: SparkSession, d: str) -> DataFrame:
+    """enrolments by term and career, as backlog or regular load of each
+    student's own semester."""
+    students = catalog.normalize_students(drv.student_snapshots(spark, d)).select("alumno_id", "semestre_historico", "semestre_actual")
+    taken = drv.customer_enrolments(spark, d).select("grupo_id", "alumno_id").join(
+        drv.sections(spark, d).select("grupo_id", "carrera", "semestre_historico", "materia_semestre"), "grupo_id")
+    both = taken.join(students, ["alumno_id", "semestre_historico"])
+    return (both.groupBy("semestre_historico", "carrera", num.load_class("materia_semestre", "semestre_actual").alias("carga"))
+            .agg(F.count(F.lit(1)).alias("inscripciones")))
+
+
 QUERIES = {f.__name__: f for f in (
     section_seating, section_slots, open_teacher_slots, course_ids, store_refresh, career_sections,
-    filtered_suggestions, brand_parts, people, first_teachers, customers_by_csv, orders_by_json)}
+    filtered_suggestions, brand_parts, people, first_teachers, customers_by_csv, orders_by_json,
+    orders_document, store_merge, term_snapshots, name_rules, course_rooms, student_load)}
 
 SLOTS = "[" + ", ".join(f"'{s}'" for s, _ in sch.DEFAULT_SLOTS) + "]"
 _DAY_MAP = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in sch.DAY_NAMES.items()) + "}"
@@ -151,6 +215,8 @@ SLOT_DAYS = f"list_transform(string_split(split_part(slot, ' ', 1), '-'), lambda
 SLOT_HOURS = """range(CAST(substr(split_part(slot, ' ', 2), 1, 2) AS INTEGER),
              CAST(substr(split_part(slot, ' ', 2), 7, 2) AS INTEGER))"""
 
+_TITLE_MAP = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in drv.TITLE_WORDS.items()) + "}"
+
 SQL = {
     "section_seating": drv.sql_with("sec", "enr") + """,
 cnt AS (
@@ -222,4 +288,50 @@ SELECT s_suppkey AS profesor_id, s_name AS nombre_profesor FROM supplier ORDER B
 SELECT c_custkey, c_name, c_acctbal, c_mktsegment, c_name AS texto FROM customer""",
     "orders_by_json": """
 SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders""",
+    "orders_document": """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders""",
+    "store_merge": """
+WITH last AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events
+)
+SELECT user_id, event_id, event_type, value FROM last WHERE rn = 1 AND event_type <> 'error'""",
+    "term_snapshots": drv.sql_with("stu") + """
+SELECT alumno_id, carrera, estado, semestre_actual, semestre_historico, CAST(len(materias_aprobadas) AS INTEGER) AS n_aprobadas
+FROM stu""",
+    "name_rules": f"""
+WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS ws FROM part),
+t AS (
+  SELECT p_partkey, ws, upper(array_to_string(list_transform(ws, lambda x: coalesce({_TITLE_MAP}[x], x)), ' ')) AS titulo,
+         CASE p_partkey % 3 WHEN 0 THEN 'ISC' WHEN 1 THEN 'IND' ELSE 'OTRA' END AS carrera
+  FROM w
+)
+SELECT p_partkey, titulo,
+       CASE WHEN regexp_matches(titulo, '{"|".join(sch.BASIC_SCIENCE_WORDS)}') THEN 'Ciencias Basicas'
+            WHEN carrera = 'ISC' THEN 'Sistemas' WHEN carrera = 'IND' THEN 'Industrial'
+            WHEN regexp_matches(titulo, '{"|".join(sch.ADMIN_WORDS)}') THEN 'Administracion'
+            ELSE 'Desarrollo Humano' END AS departamento,
+       regexp_matches(titulo, 'LAB|TALLER|DIBUJO') AS laboratorio, regexp_matches(titulo, 'LAB|CC') AS sala_laboratorio,
+       CASE WHEN p_partkey % 4 = 3 THEN '' ELSE upper(array_to_string(ws, ',')) END AS nombres
+FROM t""",
+    "course_rooms": drv.sql_with("stu", "crs") + """,
+d AS (
+  SELECT c.materia_nombre, c.semestre_materia, c.carrera, count(*) AS n,
+         CAST(regexp_extract(c.materia_nombre, '#(\\d+)', 1) AS INTEGER) % 5 AS pool
+  FROM stu s JOIN crs c ON s.carrera = c.carrera AND s.semestre_actual >= c.semestre_materia
+  WHERE s.semestre_historico = (SELECT max(semestre_historico) FROM stu) AND s.estado = 'Activo'
+    AND list_has_all(s.materias_aprobadas, c.prerequisitos) AND NOT list_contains(s.materias_aprobadas, c.materia_nombre)
+  GROUP BY ALL HAVING count(*) >= 15
+)
+SELECT materia_nombre, carrera AS carrera_materia, 'R' || n_nationkey AS salon_id,
+       CASE WHEN n > 100 THEN 1.0 ELSE n / 100 END AS factor_demanda,
+       CAST(ceil(n / CASE WHEN semestre_materia > 5 THEN 25 ELSE 35 END) AS BIGINT) AS grupos,
+       CAST(least(CASE WHEN semestre_materia > 5 THEN 25 ELSE 35 END, 25 + 5 * n_regionkey) AS INTEGER) AS capacidad_efectiva
+FROM d JOIN nation ON n_regionkey = pool""",
+    "student_load": drv.sql_with("sec", "stu") + """
+SELECT sec.semestre_historico, sec.carrera,
+       CASE WHEN materia_semestre < semestre_actual THEN 'backlog' WHEN materia_semestre = semestre_actual THEN 'regular' END AS carga,
+       count(*) AS inscripciones
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN sec ON grupo_id = o_orderkey
+JOIN stu ON stu.alumno_id = o_custkey AND stu.semestre_historico = sec.semestre_historico
+GROUP BY ALL""",
 }

@@ -16,9 +16,10 @@ from semestra.functions.schedule import (DEFAULT_SLOTS, block_map_ints, blocks_t
                                          total_blocked_hours)
 from semestra.operators.greedy import greedy_select, rank_key
 from semestra.operators.joins import drop_blocked
+from semestra.operators.rank_join import rank_join_select
 
 DEFAULT_ROOM_CAPACITY = 30  # fixed value: capacity when a room has none
-MAX_SECTIONS = 100          # fixed value: the timetable holds at most 100 sections
+MAX_SECTIONS: int | None = None  # a planner may cap the timetable's length
 
 
 def slot_array(slots: Sequence[tuple[str, int]] = DEFAULT_SLOTS) -> F.Column:
@@ -127,22 +128,71 @@ def greedy_timetable(scored: DataFrame, blocks: DataFrame | None = None,
     c = scored
     if blocks is not None:
         c = drop_blocked(c, blocks, "profesor_id", "str")
-    if attendance is not None:
-        c = c.join(attendance.select("profesor_id", "factor_asistencia"), "profesor_id", "left")
-    else:
-        c = c.withColumn("factor_asistencia", F.lit(None).cast("double"))
-    c = (c.withColumn("factor_asistencia", F.coalesce("factor_asistencia", F.lit(0.0)))
-         .withColumn("score_ajustado",
-                     clip(F.col("score_predicho") + F.col("factor_asistencia") * ATTENDANCE_POINTS))
-         .withColumn("capacidad", F.coalesce(F.col("capacidad_base").cast("int"),
-                                             F.lit(DEFAULT_ROOM_CAPACITY))))
-    keys = ["materia_nombre", "carrera_materia", "profesor_id", "salon_id", "str"]
+    c = _with_factors(c, attendance).withColumn("capacidad", _capacity())
     order_col = "score_ajustado" if rank_by_adjusted else "score_predicho"
-    c = c.withColumn("_rk", rank_key(order_col, keys))
-    acc, rounds = greedy_select(c, ["materia_nombre", "carrera_materia"], "profesor_id",
-                                "salon_id", "str", "_rk", "capacidad", "demanda_real",
+    c = c.withColumn("_rk", rank_key(order_col, [*COURSE, "profesor_id", "salon_id", "str"]))
+    acc, rounds = greedy_select(c, COURSE, "profesor_id", "salon_id", "str", "_rk", "capacidad", "demanda_real",
                                 max_sections=max_sections)
-    out = acc.select(
+    return _published(acc), rounds
+
+
+COURSE = ["materia_nombre", "carrera_materia"]
+
+
+def _capacity() -> F.Column:
+    return F.coalesce(F.col("capacidad_base").cast("int"), F.lit(DEFAULT_ROOM_CAPACITY))
+
+
+def _with_factors(scored: DataFrame, attendance: DataFrame | None) -> DataFrame:
+    """The teacher's attendance factor and the score it moves."""
+    if attendance is not None:
+        scored = scored.join(attendance.select("profesor_id", "factor_asistencia"), "profesor_id", "left")
+    else:
+        scored = scored.withColumn("factor_asistencia", F.lit(None).cast("double"))
+    factor = F.coalesce("factor_asistencia", F.lit(0.0))
+    return (scored.withColumn("factor_asistencia", factor)
+            .withColumn("score_ajustado", clip(F.col("score_predicho") + F.col("factor_asistencia") * ATTENDANCE_POINTS)))
+
+
+def blocked_slots(teachers: DataFrame, blocks: DataFrame,
+                  slots: Sequence[tuple[str, int]] = DEFAULT_SLOTS) -> DataFrame:
+    """(profesor_id, str): offered slots with a blocked hour of the teacher."""
+    pairs = teachers.select("profesor_id").distinct().withColumn("str", F.explode(slot_array(slots)["str"]))
+    return pairs.join(drop_blocked(pairs, blocks), ["profesor_id", "str"], "left_anti")
+
+
+def room_slots(rooms: DataFrame, slots: Sequence[tuple[str, int]] = DEFAULT_SLOTS) -> DataFrame:
+    """Rooms at every offered slot, with their capacity."""
+    slot = F.explode(slot_array(slots)).alias("_slot")
+    return rooms.select("*", slot).select(
+        *[c for c in rooms.columns if c not in ("str", "inicio")], F.col("_slot.str").alias("str"),
+        F.col("_slot.inicio").alias("inicio")).withColumn("capacidad", _capacity())
+
+
+def rank_join_timetable(offers: DataFrame, rooms: DataFrame, on: Sequence[str] = ("room_pool",),
+                        blocks: DataFrame | None = None, attendance: DataFrame | None = None,
+                        max_sections: int | None = MAX_SECTIONS, rank_by_adjusted: bool = False,
+                        slots: Sequence[tuple[str, int]] = DEFAULT_SLOTS) -> tuple[DataFrame, int]:
+    """Q12 and Q16 in one: the timetable of ``greedy_timetable`` without the
+    candidates ever written out.
+
+    ``offers``: a course with its demand, a teacher, the ``score_predicho`` of
+    the two and the columns ``on`` shared with ``rooms`` at a slot (the room
+    pool; with a score that depends on the hour or the capacity, also
+    ``inicio`` and ``capacidad_base``). Offers are expanded in rank order, at
+    the places still open (operators.rank_join).
+    """
+    scored = _with_factors(offers, attendance)
+    busy = blocked_slots(offers, blocks, slots) if blocks is not None else None
+    acc, rounds = rank_join_select(
+        scored, room_slots(rooms, slots), on, COURSE, "profesor_id", "salon_id", "str",
+        "score_ajustado" if rank_by_adjusted else "score_predicho", "capacidad", "demanda_real", busy, max_sections)
+    return _published(acc), rounds
+
+
+def _published(acc: DataFrame) -> DataFrame:
+    """Accepted sections as the timetable lists them."""
+    return acc.select(
         F.col("_ord").alias("id"),
         F.col("materia_nombre").alias("materia"),
         F.col("semestre_materia").cast("int").alias("semestre"),
@@ -161,7 +211,6 @@ def greedy_timetable(scored: DataFrame, blocks: DataFrame | None = None,
         "factor_asistencia",
         "round",
     )
-    return out, rounds
 
 
 def schedule_kpis(timetable: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-
 def get_spark(master: str | None = None, shuffle_partitions: int = 8,
               app_name: str = "semestra") -> SparkSession:
     """Session for tests and the bench. On a cluster, use the cluster's own
@@ -54,6 +53,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of a path in any store that Spark reads."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path for a table of this application: all lie in one folder, which
+    ``drop_scratch`` deletes."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/semestra-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete every table this application has written to the shared folder,
+    once no result that reads them is needed any more."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    drop_written(spark, [f"{base}/semestra-{spark.sparkContext.applicationId}"])
+
+
 def materialize(df: DataFrame, name: str = "t", written: list[str] | None = None) -> DataFrame:
     """Cut lineage by writing ``df`` as Parquet under the cluster's checkpoint
     folder and reading it back.
@@ -63,8 +82,7 @@ def materialize(df: DataFrame, name: str = "t", written: list[str] | None = None
     stages never recompute the lineage behind it.
     """
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/semestra-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     if written is not None:
         written.append(path)
@@ -75,8 +93,6 @@ def drop_written(spark: SparkSession, paths: list[str]) -> None:
     """Delete scratch tables written by ``materialize`` once nothing reads
     them (through the Hadoop file system of the path, so it works for any
     shared store the checkpoint folder lives on)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(conf).delete(path, True)
+    for path in paths:
+        fs, p = hadoop_path(spark, path)
+        fs.delete(p, True)

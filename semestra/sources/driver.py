@@ -121,8 +121,10 @@ def teachers(spark: SparkSession, d: str) -> DataFrame:
         F.col("s_suppkey").alias("profesor_id"), F.col("s_name").alias("nombre_profesor"))
 
 
-def student_snapshots(spark: SparkSession, d: str) -> DataFrame:
-    """Raw snapshots: passed courses arrive as JSON text (parsed by Q2).
+def student_snapshots(spark: SparkSession, d: str, latest: bool = False) -> DataFrame:
+    """Raw snapshots: passed courses arrive as JSON text (parsed by Q2). With
+    ``latest`` those of the last term only: the history is then read for the
+    customers who ordered in it.
 
     The per-customer window runs over (customer, term) rows that were
     aggregated first, so a customer holding a third of all orders still has
@@ -133,6 +135,10 @@ def student_snapshots(spark: SparkSession, d: str) -> DataFrame:
     li = read(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_quantity")
     p = read(spark, d, "part", "p_partkey", "p_brand")
     c = read(spark, d, "customer", "c_custkey", "c_mktsegment", "c_acctbal")
+    if latest:
+        known = o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
+        last = known.agg(F.max("term").alias("term"))  # one row
+        o = o.join(o.join(F.broadcast(last), "term", "left_semi").select("o_custkey").distinct(), "o_custkey", "left_semi")
     passed_now = (li.filter(F.col("l_quantity") * 2 >= 70)
                   .join(o, li.l_orderkey == o.o_orderkey)
                   .join(p, F.col("l_partkey") == p.p_partkey)
@@ -147,6 +153,8 @@ def student_snapshots(spark: SparkSession, d: str) -> DataFrame:
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(
             F.coalesce("now", F.array().cast("array<string>"))).over(before))))
         .alias("passed"))
+    if latest:
+        snap = snap.join(F.broadcast(last), "term", "left_semi")
     return (snap.join(c, snap.o_custkey == c.c_custkey)
             .select(F.col("o_custkey").alias("alumno_id"),
                     F.col("c_mktsegment").alias("carrera"),
@@ -345,6 +353,25 @@ def qualified_teachers(spark: SparkSession, d: str) -> DataFrame:
             .agg(F.round(F.avg(F.col("l_quantity") * 2), 1).alias("score_predicho")))
 
 
+# The subject words that stand in for the first words of part names.
+TITLE_WORDS = {"hot": "LAB", "cold": "TALLER", "new": "DIBUJO", "red": "CÁLCULO", "blue": "ÁLGEBRA",
+               "small": "ECONOMÍA"}
+
+
+def course_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as courses with a spoken title, a career, and a text that lists the
+    words of the name in one of the forms such lists arrive in."""
+    p = read(spark, d, "part", "p_partkey", "p_name")
+    words = F.split("p_name", " ")
+    subject = F.create_map(*[F.lit(x) for kv in TITLE_WORDS.items() for x in kv])
+    title = F.upper(F.array_join(F.transform(words, lambda w: F.coalesce(F.element_at(subject, w), w)), " "))
+    k = F.col("p_partkey") % 4
+    listed = (F.when(k == 0, F.to_json(words)).when(k == 1, F.concat(F.lit("['"), F.array_join(words, "', '"), F.lit("']")))
+              .when(k == 2, F.array_join(words, " , ")).otherwise(F.lit("")))
+    career = F.when(F.col("p_partkey") % 3 == 0, "ISC").when(F.col("p_partkey") % 3 == 1, "IND").otherwise("OTRA")
+    return p.select("p_partkey", title.alias("titulo"), career.alias("carrera"), listed.alias("lista"))
+
+
 def restrictions(spark: SparkSession, d: str) -> DataFrame:
     """Teacher restriction records (S14's table): a user's error events block
     that weekday and hour; the record is active when the user ever bought."""

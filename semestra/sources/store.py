@@ -10,16 +10,94 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from semestra.operators.aggregates import latest_by
+from semestra.session import drop_written, materialize
 
 
-def scan_store(df: DataFrame) -> DataFrame:
+BUCKETS = 64  # partitions of a stored table
+
+
+def bucket_of(keys: Sequence[Column], buckets: int = BUCKETS) -> Column:
+    """The partition of a key. Of a literal key it is a constant, so a filter on
+    it prunes the scan to one folder."""
+    return F.pmod(F.xxhash64(*[k.cast("string") for k in keys]), F.lit(buckets)).cast("int")
+
+
+def write_store(df: DataFrame, path: str, keys: Sequence[str], buckets: int = BUCKETS) -> None:
+    """A stored table: partitioned by the bucket of its keys, one sorted file a
+    bucket, so a lookup skips row groups within it. Keys are unique."""
+    _put(df.withColumn("bucket", bucket_of([F.col(k) for k in keys], buckets)), path, keys, buckets)
+
+
+def _put(df: DataFrame, path: str, keys: Sequence[str], buckets: int) -> None:
+    (df.repartition(buckets, "bucket").sortWithinPartitions("bucket", *keys).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+
+
+def scan_store(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Full scan."""
-    return df
+    r = spark.read if schema is None else spark.read.schema(schema)
+    return r.parquet(path).drop("bucket")
+
+
+def lookup_store(spark: SparkSession, path: str, keys: Sequence[str], values: Sequence, buckets: int = BUCKETS) -> DataFrame:
+    """Get by key from a stored table: one partition is listed and read."""
+    cond = F.col("bucket") == bucket_of([F.lit(v) for v in values], buckets)
+    for k, v in zip(keys, values):
+        cond = cond & (F.col(k) == F.lit(v))
+    return spark.read.parquet(path).where(cond).drop("bucket")
+
+
+def _replace(spark: SparkSession, path: str, rows: DataFrame, touched: list[int], keys: Sequence[str], buckets: int) -> None:
+    """Rewrite the touched partitions by ``rows``; those left without rows go."""
+    rows = materialize(rows, "store")  # the partitions are read and overwritten
+    _put(rows, path, keys, buckets)
+    kept = {r.bucket for r in rows.select("bucket").distinct().collect()}  # at most the number of buckets
+    drop_written(spark, [f"{path}/bucket={b}" for b in touched if b not in kept])
+
+
+def merge_store(changes: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], op_col: str = "op",
+                delete_value: str = "delete", buckets: int = BUCKETS) -> list[int]:
+    """S14 into a stored table: the last entry of a key wins (``upsert_latest``),
+    a delete removes it. Stored rows count as older than any change, so a merge
+    that is done again gives the same table. Only the partitions of changed keys
+    are read and rewritten; returns them."""
+    spark = changes.sparkSession
+    last = materialize(latest_by(changes, keys, order)
+                       .withColumn("bucket", bucket_of([F.col(k) for k in keys], buckets)), "changes")
+    touched = sorted(r.bucket for r in last.select("bucket").distinct().collect())
+    old = spark.read.parquet(path).where(F.col("bucket").isin(touched))
+    kept = old.join(last.select("bucket", *keys), ["bucket", *keys], "left_anti")
+    puts = last.where(F.coalesce(F.col(op_col) != F.lit(delete_value), F.lit(True)))
+    rows = kept.unionByName(puts.select(*old.columns))
+    if touched:
+        _replace(spark, path, rows, touched, keys, buckets)
+    return touched
+
+
+def refresh_store(df: DataFrame, path: str, keys: Sequence[str], buckets: int = BUCKETS) -> list[int]:
+    """S13 into a stored table: afterwards it holds the rows of ``df`` and no
+    others. Partitions whose rows are the same (by count and sums of row hashes)
+    are left alone; returns those rewritten."""
+    spark = df.sparkSession
+    new = materialize(df.withColumn("bucket", bucket_of([F.col(k) for k in keys], buckets)), "refresh")
+    old = spark.read.parquet(path).select(*new.columns)
+
+    def digest(rows: DataFrame, name: str) -> DataFrame:
+        row = F.xxhash64(*[F.col(c) for c in df.columns])
+        return rows.groupBy("bucket").agg(F.struct(
+            F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(row, 20)).alias("high"),
+            F.sum(row.bitwiseAND(F.lit((1 << 20) - 1))).alias("low"), F.bit_xor(row).alias("x")).alias(name))
+
+    both = digest(new, "a").join(digest(old, "b"), "bucket", "full_outer")
+    touched = sorted(r.bucket for r in both.where(~F.col("a").eqNullSafe(F.col("b"))).select("bucket").collect())
+    if touched:
+        _replace(spark, path, new.where(F.col("bucket").isin(touched)), touched, keys, buckets)
+    return touched
 
 
 def key_lookup(df: DataFrame, **key_values) -> DataFrame:

@@ -60,3 +60,59 @@ def test_serving_features_q13(spark):
     r = {x.profesor_id: x for x in model.serving_features(cands, q).collect()}
     assert (r[1].X_Cp_Profesor, r[1].X_Factor_Demanda_Normalizado) == (91.0, 1.0)
     assert (r[2].X_Cp_Profesor, r[2].X_Factor_Demanda_Normalizado) == (85.0, 0.4)
+
+
+def test_grid_points_of_one_fit_equal_their_own_fits(spark, ready):
+    train, _ = model.hash_split(ready, "grupo_id")
+    found = model.grid_search(train, folds=2, depth=[2], iters=[3, 6], parallelism=2)
+    assert [p["rmse"] for p in found] == sorted(p["rmse"] for p in found) and len(found) == 2
+    stages = model.feature_stages(train)
+    table = model.with_fold(stages.transform(train), "grupo_id", 2)
+    for p in found:
+        for fold in range(2):
+            alone = model._booster(model._bins(stages), 2, p["maxIter"], 0.1).fit(table.where(F.col("fold") != fold))
+            rmse = model.rmse_evaluator().evaluate(alone.transform(table.where(F.col("fold") == fold)))
+            assert math.isclose(rmse, p["folds"][fold], rel_tol=1e-6)
+
+
+def test_folds_do_not_depend_on_partitions(spark, ready):
+    a = model.with_fold(ready, "grupo_id").select("grupo_id", "fold").collect()
+    b = model.with_fold(ready.repartition(5), "grupo_id").select("grupo_id", "fold").collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and {r.fold for r in a} == {0, 1, 2}
+
+
+def test_permutation_importance_finds_the_feature_that_counts(spark):
+    rows = spark.range(3000).select(
+        F.col("id").alias("grupo_id"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(100)) / 100.0).alias("X_Cp_Profesor"),
+        (F.pmod(F.xxhash64("id", F.lit(2)), F.lit(100)) / 100.0).alias("X_Factor_Demanda_Normalizado"),
+        F.lit(30.0).alias("X_capacidad_salon"), F.lit(7.0).alias("X_Hora_Inicio"), F.lit(1.0).alias("X_Semestre_Num"),
+        F.concat(F.lit("M"), (F.col("id") % 3).cast("string")).alias("materia_nombre_visual"))
+    rows = rows.withColumn(model.LABEL, 3 * F.col("X_Cp_Profesor") + F.when(F.col("materia_nombre_visual") == "M1", 0.5).otherwise(0.0))
+    fitted = model.train_model(rows, grid=False, depth=[3], iters=[10])
+    out = {r.feature: r for r in model.permutation_importance(fitted, rows).collect()}
+    assert set(out) == set(model.FEATURE_LABELS.values())
+    teacher, course = out["Ranking Profesor"], out["Materia (Dificultad)"]
+    assert teacher.importancia > course.importancia > 1 and teacher.rise > 0.5
+    assert abs(out["Horario Preferido"].rise) < 1e-9 and out["Horario Preferido"].importancia == 0
+    assert 99 < sum(r.importancia for r in out.values()) < 101
+
+
+def test_scored_timetable_equals_scoring_every_candidate(spark, ready):
+    from semestra.plans import model_reports, timetable
+    fitted, loaded, test = model_reports.fitted_model(ready, depth=3, iters=5)
+    a, b = (model.score_candidates(m, test).select("prediction").orderBy("grupo_id").collect() for m in (fitted, loaded))
+    assert a == b
+    courses = spark.createDataFrame([(f"BRAND#{i}", "BUILDING", 1 + i % 6, 30 + 20 * i, i % 2) for i in range(1, 7)],
+                                    "materia_nombre string, carrera_materia string, semestre_materia int, demanda_real long, room_pool int")
+    pairs = courses.select("materia_nombre", "carrera_materia").crossJoin(
+        spark.createDataFrame([(t, f"T{t}") for t in range(4)], "profesor_id long, nombre_profesor string"))
+    rooms = spark.createDataFrame([(f"R{r}", [20, 30][r % 3 == 0], r % 2) for r in range(6)],
+                                  "salon_id string, capacidad_base int, room_pool int")
+    quality = spark.createDataFrame([(t, 60.0 + 9 * t) for t in range(3)], "profesor_id long, Calidad_Profesor double")
+    got = model_reports.model_timetable(loaded, courses, pairs, rooms, quality)
+    cands = timetable.candidate_sections(courses, pairs, rooms)
+    scored = model.score_candidates(loaded, model.serving_features(cands, quality))
+    want, _ = timetable.greedy_timetable(scored)
+    cols = [c for c in want.columns if c != "round"]
+    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+    assert got.count() > 5

@@ -87,6 +87,6 @@ def test_late_records_count_in_the_stream(spark, tmp_path):
     sections = spark.createDataFrame([("g", "p", "8")], "grupo_id string, profesor_id string, hora_inicio_promedio string")
     events = stream.read_event_stream(spark, str(tmp_path / "in"), max_files_per_trigger=1)
     stream.run_attendance_stream(events, sections, str(tmp_path / "counts"), str(tmp_path / "ckpt")).awaitTermination()
-    got = stream.stats_from_counts(spark.read.parquet(str(tmp_path / "counts"))).first()
+    got = stream.stats_from_counts(stream.read_counts(spark, str(tmp_path / "counts"))).first()
     batch = att.attendance_stats(att.events_with_sections(parse_events(spark.read.text(str(tmp_path / "in"))), sections)).first()
     assert got.total == batch.total == 4

@@ -1,6 +1,9 @@
 """File scans and sinks (S1-S4, S6, S8-S10) and the two-step key join."""
 
+import collections
 import json
+import random
+import time
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,3 +72,60 @@ def test_normalized_key_join_j11(spark):
     got = {r.materia: r.prerequisitos
            for r in normalized_key_join(left, right, "materia", "materia_nombre").collect()}
     assert got == {"Cálculo I ": ["X"], "REDES": ["Z"], "otra": None}
+
+
+def _random_line(rng):
+    texts = ["x", "a}{b", '"}{"', "\\", '\\"', "}", "{", "} {", "é}  {", ""]
+    out, records = "", []
+    for i in range(rng.randint(0, 6)):
+        record = {"asistencia_id": str(i), "alumno_id": rng.choice(texts), "grupo_id": rng.choice(texts)}
+        if rng.random() < .2:
+            record["extra"] = {"a": {"b": rng.choice(texts)}}
+        records.append((record["asistencia_id"], record["alumno_id"], record["grupo_id"]))
+        out += rng.choice(["", "", " ", "\t "]) + json.dumps(record, ensure_ascii=rng.random() < .5)
+    return out, records
+
+
+def test_records_back_to_back_equal_a_json_decoder(spark):
+    rng = random.Random(6)
+    lines = [_random_line(rng) for _ in range(400)]
+    df = spark.createDataFrame([(n, line) for n, (line, _) in enumerate(lines)], "n int, value string")
+    got = collections.defaultdict(list)
+    split = df.select("n", F.posexplode(files.split_concatenated_json("value")).alias("k", "j")).select(
+        "n", "k", F.from_json("j", files.ATTENDANCE_SCHEMA).alias("r"))
+    for r in split.orderBy("n", "k").collect():
+        got[r.n].append((r.r.asistencia_id, r.r.alumno_id, r.r.grupo_id))
+    assert [got[n] for n in range(len(lines))] == [records for _, records in lines]
+
+
+def test_broken_records_do_not_take_others_along(spark):
+    good = '{"asistencia_id":"%d"}'
+    lines = [good % 1 + '{"asistencia_id":"2","alumno_id":"open}' + good % 3, None, "", "no json", good % 4 + "}" + good % 5]
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    assert {r.asistencia_id for r in files.parse_events(df).collect()} >= {"1", "3", "4"}
+
+
+def test_splitting_is_linear_in_the_line(spark, tmp_path):
+    record = json.dumps({c: "x" * 20 for c in files.ATTENDANCE_SCHEMA.fieldNames()})
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one.json").write_text(record * 50_000)
+    events = files.read_text_events(spark, str(tmp_path / "in"))
+    events.count()
+    begun = time.time()
+    assert events.count() == 50_000
+    assert time.time() - begun < 10  # the quadratic form took 38 s for 4,000
+
+
+def test_a_large_single_line_csv_is_read_by_many_tasks(spark, tmp_path):
+    path = tmp_path / "rooms.csv"
+    path.write_text("salon_id,nombre_salon,capacidad_base\n" + "".join(f'S{i},"Aula, {i}",{i % 50}\n' for i in range(200_000)))
+    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        split = files.read_csv_permissive(spark, str(path), ROOMS, multi_line=False)
+        whole = files.read_csv_permissive(spark, str(path), ROOMS)
+        parts = lambda df: df.select(F.spark_partition_id()).distinct().count()
+        assert parts(split) > 3 and parts(whole) == 1
+        assert split.exceptAll(whole).count() == 0 and split.count() == 200_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
