@@ -9,7 +9,8 @@ apart; so shared q-grams are counted in overlapping bands of 2k diagonals, and
 windows that reach the count are verified by a banded alignment.
 
 The benchmark is searched in blocks of at most BLOCK_BYTES, whose index goes to
-every task; each block is one pass over all documents.
+every task (at most 20 bytes for each byte of items, and a sieve of 16 MB); each
+block is one pass over all documents.
 
 Defined results: null or empty texts and items, and items of under MIN_BYTES
 squeezed bytes, match nothing. Each row is judged by itself: null or repeated
@@ -32,7 +33,8 @@ Q = 12
 WINDOW = 60
 ERROR_RATE = 0.06
 MIN_BYTES = 24
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+SIEVE_BITS = 27  # most flags before the search of an index: 16 MB
 
 _KEEP = np.zeros(256, bool)
 _KEEP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -84,21 +86,23 @@ class Index:
         hashes = np.concatenate([*parts, np.zeros(0, np.uint64)])
         order = np.argsort(hashes, kind="stable")
         self.hashes = hashes[order]
-        self.item = np.repeat(np.arange(len(parts)), [len(p) for p in parts])[order]
-        self.pos = np.concatenate([*(np.arange(len(p)) for p in parts), np.zeros(0, np.int64)])[order].astype(np.int64)
-        self.bits = max(10, math.ceil(math.log2(64 * len(hashes) + 1)))
-        self.sieve = np.zeros(1 << self.bits, bool)
-        self.sieve[self.hashes >> np.uint64(64 - self.bits)] = True
+        self.item = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])[order]
+        self.pos = np.concatenate([*(np.arange(len(p), dtype=np.int32) for p in parts), np.zeros(0, np.int32)])[order]
+        self.bits = min(SIEVE_BITS, max(10, math.ceil(math.log2(64 * len(hashes) + 1))))
+        self.sieve = np.zeros(1 << (self.bits - 3), np.uint8)  # packed, eight flags a byte
+        flag = self.hashes >> np.uint64(64 - self.bits)
+        np.bitwise_or.at(self.sieve, flag >> np.uint64(3), np.uint8(1) << (flag & np.uint64(7)).astype(np.uint8))
 
     def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(position in data, item, position in item) of every shared q-gram."""
         found = qgram_hashes(data)
-        at = np.flatnonzero(self.sieve[found >> np.uint64(64 - self.bits)])
+        flag = found >> np.uint64(64 - self.bits)
+        at = np.flatnonzero((self.sieve[flag >> np.uint64(3)] >> (flag & np.uint64(7)).astype(np.uint8)) & np.uint8(1))
         low = np.searchsorted(self.hashes, found[at], "left")
         times = np.searchsorted(self.hashes, found[at], "right") - low
         at, low, times = at[times > 0], low[times > 0], times[times > 0]
         where = np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())
-        return np.repeat(at, times), self.item[where], self.pos[where]
+        return np.repeat(at, times), self.item[where].astype(np.int64), self.pos[where].astype(np.int64)
 
     def windows(self, row: np.ndarray, at: np.ndarray, item: np.ndarray, pos: np.ndarray) -> np.ndarray:
         """Columns row, item, band, first and last position in the item of
@@ -180,7 +184,7 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str | N
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // BLOCK_BYTES)
     for b in range(n):
-        part = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b)
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
         yield [tuple(r) for r in part.orderBy("item_id", "text").collect()]
 
 
