@@ -58,5 +58,5 @@ def test_stages_on_odd_and_empty_tables(spark, tmp_path, odd_docs, no_docs):
 def test_queries_are_registered():
     import __spark_entry__
     names = [n.split("_")[0] for n in __spark_entry__.queries()]
-    assert {f"op{n}" for n in range(1, 11)} | {"pipeline"} <= set(names)
+    assert {f"op{n}" for n in range(1, 14)} | {"pipeline"} <= set(names)
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
