@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from semestra.plans import attendance as att
 from semestra.plans import catalog, demand, features, insights, model, model_reports, reports, timetable
+from semestra.session import materialize, scratch_path
 from semestra.sources import driver as drv
 from semestra.sources.files import parse_events
 from semestra.sources.store import upsert_latest
@@ -59,11 +60,11 @@ def _latest_students(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _courses(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.normalize_courses(drv.course_catalogue(spark, d))
+    return catalog.course_rows(drv.course_catalogue(spark, d))
 
 
 def q_normalized_courses(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.in_order(_courses(spark, d)).select(
+    return catalog.normalize_courses(drv.course_catalogue(spark, d)).select(
         "materia_nombre", "semestre_materia", "carrera",
         F.array_join("prerequisitos", ",").alias("prerequisitos"))
 
@@ -89,11 +90,25 @@ def _model_ready(spark: SparkSession, d: str) -> DataFrame:
                                 drv.teachers(spark, d))
 
 
+_WRITTEN: dict[tuple, str] = {}
+
+
+def _once(spark: SparkSession, d: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries of one application read (the training rows,
+    the timetable): written by the first one and again when a file of ``d`` has
+    changed."""
+    state = (spark.sparkContext.applicationId, name, d, drv.table_state(spark, d))
+    if state not in _WRITTEN:
+        written: list[str] = []
+        materialize(build(), name, written)
+        _WRITTEN[state] = written[0]
+    return spark.read.parquet(_WRITTEN[state])
+
+
 def _training_rows(spark: SparkSession, d: str) -> DataFrame:
-    # Written once: the indexer fit, the boosting passes and the scoring read
-    # the table instead of recomputing the feature pipeline.
-    from semestra.session import materialize
-    return materialize(model.training_frame(_model_ready(spark, d)).drop("horario_visual"), "model_ready")
+    # The indexer fit, the boosting passes and the scoring read the written
+    # table instead of recomputing the feature pipeline.
+    return _once(spark, d, "model_ready", lambda: model.training_frame(_model_ready(spark, d)).drop("horario_visual"))
 
 
 def q_model_holdout_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -185,7 +200,6 @@ def q_attendance_by_hour(spark: SparkSession, d: str) -> DataFrame:
 
 def _stream_counts(spark: SparkSession, d: str) -> DataFrame:
     # Run the stream over every event file present (availableNow).
-    from semestra.session import scratch_path
     from semestra.streaming import attendance as stream
     base = scratch_path(spark, "w1")
     q = stream.run_attendance_stream(drv.attendance_event_stream(spark, d),
@@ -245,9 +259,9 @@ def q_hour_bias_chart(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_timetable(spark: SparkSession, d: str) -> DataFrame:
-    out, _ = timetable.rank_join_timetable(_offers(spark, d), drv.rooms(spark, d),
-                                           blocks=q_teacher_blocks(spark, d), attendance=_factors(spark, d))
-    return out.drop("round")
+    return _once(spark, d, "plan", lambda: timetable.rank_join_timetable(
+        _offers(spark, d), drv.rooms(spark, d), blocks=q_teacher_blocks(spark, d),
+        attendance=_factors(spark, d))[0].drop("round"))
 
 
 def q_schedule_kpis(spark: SparkSession, d: str) -> DataFrame:

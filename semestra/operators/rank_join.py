@@ -28,6 +28,7 @@ from semestra.session import drop_written, materialize
 log = logging.getLogger(__name__)
 
 FACTOR = 16  # candidates of the first slice for each open place
+FILE_ROWS = 50_000  # candidates of a slice for each of its files
 
 
 def rank_join_select(offers: DataFrame, places: DataFrame, on: Sequence[str], course_cols: Sequence[str],
@@ -67,7 +68,8 @@ def rank_join_select(offers: DataFrame, places: DataFrame, on: Sequence[str], co
             behind = behind | (F.col("_s") == F.lit(done[0]))
         per_pool = open_places.groupBy(*on).agg(F.count(F.lit(1)).alias("_w"))
         weighed = open_offers.where(behind).join(per_pool, on)
-        until = _bound(weighed.select("_s", "_w"), done, factor * open_places.count())
+        goal = factor * open_places.count()
+        until = _bound(weighed.select("_s", "_w"), done, goal)
         if until is None:
             break
         # The slice: offers up to the bound at open places, by hash at its ends.
@@ -80,7 +82,8 @@ def rank_join_select(offers: DataFrame, places: DataFrame, on: Sequence[str], co
             part = part.where((F.col("_s") < F.lit(until[0])) | (share < F.lit(until[1])))
         for gone in ([taken] if taken is not None else []) + ([_union(state.accepted)] if state.accepted else []):
             part = part.join(gone.select(*ts_keys), ts_keys, "left_anti")
-        part = materialize(part.drop("_s"), "slice", scratch)
+        # A round reads the slice several times: as many files as its rows need.
+        part = materialize(part.drop("_s").repartition(1 + goal // FILE_ROWS, *ts_keys), "slice", scratch)
         state.payload.append(part)
         _rounds(state, part, course_cols, teacher_col, room_col, slot_col, "_rk", capacity_col, max_sections, max_rounds)
         log.info("rank join up to %s: %d accepted after %d rounds", until, state.n_accepted, state.rounds)

@@ -30,14 +30,15 @@ def _clean_catalogue(raw: DataFrame, career: str | None) -> DataFrame:
         F.col("_carrera").alias("carrera"))
 
 
-def normalize_courses(catalogues: Mapping[str, DataFrame] | DataFrame) -> DataFrame:
-    """Q1: raw catalogues -> one clean catalogue.
+def course_rows(catalogues: Mapping[str, DataFrame] | DataFrame) -> DataFrame:
+    """Q1 without its order, for use inside other plans: raw catalogues -> one
+    clean catalogue.
 
     ``catalogues`` is one raw frame per career (the key is the career), or
     one frame that already carries a ``carrera`` column. P1 clean text, P2
     common schema, P3 upper-case names, F4 prerequisite arrays, P4 career
     tag, U1 union by name, U3 one row per (name, prerequisites, career) with
-    a deterministic survivor. ``in_order`` gives the listing's order (T1).
+    a deterministic survivor.
     """
     if isinstance(catalogues, DataFrame):
         merged = _clean_catalogue(catalogues, None)
@@ -47,9 +48,9 @@ def normalize_courses(catalogues: Mapping[str, DataFrame] | DataFrame) -> DataFr
     return distinct_on(merged, ["materia_nombre", "prerequisitos", "carrera"])
 
 
-def in_order(courses: DataFrame) -> DataFrame:
-    """Q1 as it is listed: by semester, name and career."""
-    return courses.orderBy("semestre_materia", "materia_nombre", "carrera")
+def normalize_courses(catalogues: Mapping[str, DataFrame] | DataFrame) -> DataFrame:
+    """Q1: the clean catalogue (``course_rows``) by semester, name and career."""
+    return course_rows(catalogues).orderBy("semestre_materia", "materia_nombre", "carrera")
 
 
 def normalize_students(snapshots: DataFrame) -> DataFrame:

@@ -184,7 +184,7 @@ def course_rooms(spark: SparkSession, d: str) -> DataFrame:
     """courses in demand and the rooms of their pool: the demand
     as a factor, the groups it takes, and the seats a group has in each room."""
     students = catalog.normalize_students(drv.student_snapshots(spark, d, latest=True))
-    dem = demand.current_demand(students, catalog.normalize_courses(drv.course_catalogue(spark, d)))
+    dem = demand.current_demand(students, catalog.course_rows(drv.course_catalogue(spark, d)))
     size = F.when(F.col("semestre_materia") > num.SMALL_GROUP_SEMESTER, num.SMALL_GROUP).otherwise(num.LARGE_GROUP)
     pool = F.pmod(drv.brand_number(F.col("materia_nombre")), F.lit(5)).alias("room_pool")
     return (dem.select("*", size.alias("tamano"), pool).join(drv.rooms(spark, d), "room_pool")

@@ -15,7 +15,7 @@ from semestra.functions.schedule import (DEFAULT_SLOTS, block_map_ints, blocks_t
                                          department_of, is_lab_room, needs_lab,
                                          total_blocked_hours)
 from semestra.operators.greedy import greedy_select, rank_key
-from semestra.operators.joins import drop_blocked
+from semestra.operators.joins import drop_blocked, expand_slot
 from semestra.operators.rank_join import rank_join_select
 
 DEFAULT_ROOM_CAPACITY = 30  # fixed value: capacity when a room has none
@@ -154,11 +154,11 @@ def _with_factors(scored: DataFrame, attendance: DataFrame | None) -> DataFrame:
             .withColumn("score_ajustado", clip(F.col("score_predicho") + F.col("factor_asistencia") * ATTENDANCE_POINTS)))
 
 
-def blocked_slots(teachers: DataFrame, blocks: DataFrame,
-                  slots: Sequence[tuple[str, int]] = DEFAULT_SLOTS) -> DataFrame:
-    """(profesor_id, str): offered slots with a blocked hour of the teacher."""
-    pairs = teachers.select("profesor_id").distinct().withColumn("str", F.explode(slot_array(slots)["str"]))
-    return pairs.join(drop_blocked(pairs, blocks), ["profesor_id", "str"], "left_anti")
+def blocked_slots(blocks: DataFrame, slots: Sequence[tuple[str, int]] = DEFAULT_SLOTS) -> DataFrame:
+    """(profesor_id, str): offered slots with a blocked hour of the teacher
+    (J10), by a join with the hours of the slots, a handful of literal rows."""
+    offered = blocks.sparkSession.range(1).select(F.explode(slot_array(slots)["str"]).alias("str"))
+    return blocks.join(expand_slot(offered), ["dia", "hora"]).select("profesor_id", "str").distinct()
 
 
 def room_slots(rooms: DataFrame, slots: Sequence[tuple[str, int]] = DEFAULT_SLOTS) -> DataFrame:
@@ -183,7 +183,7 @@ def rank_join_timetable(offers: DataFrame, rooms: DataFrame, on: Sequence[str] =
     the places still open (operators.rank_join).
     """
     scored = _with_factors(offers, attendance)
-    busy = blocked_slots(offers, blocks, slots) if blocks is not None else None
+    busy = blocked_slots(blocks, slots) if blocks is not None else None
     acc, rounds = rank_join_select(
         scored, room_slots(rooms, slots), on, COURSE, "profesor_id", "salon_id", "str",
         "score_ajustado" if rank_by_adjusted else "score_predicho", "capacidad", "demanda_real", busy, max_sections)
@@ -225,7 +225,7 @@ def schedule_kpis(timetable: DataFrame) -> DataFrame:
         F.sum("inscritos").cast("long").alias("cupos_asignados"),
         F.sum(F.when(opens, F.col("capacidad")).otherwise(0)).cast("long").alias("capacidad_abierta"))
     return agg.select(
-        "num_grupos", "num_grupos_abren",
+        "num_grupos", F.coalesce("num_grupos_abren", F.lit(0).cast("long")).alias("num_grupos_abren"),
         round_half_even(F.coalesce("_avg", F.lit(0.0)), 1).alias("avgScore"),
         F.coalesce("cupos_asignados", F.lit(0)).alias("cupos_asignados"),
         F.coalesce("capacidad_abierta", F.lit(0)).alias("capacidad_abierta"),

@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from semestra.session import hadoop_path
+
 SECTION_SEATS = 7          # an order holds at most 7 lines
 BRANDS_PER_SEMESTER = 5
 
@@ -35,6 +37,17 @@ def read(spark: SparkSession, d: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+def table_state(spark: SparkSession, d: str) -> tuple:
+    """(name, length, time of change) of every file of the tables in ``d``: what
+    was derived from them holds as long as this is the same."""
+    fs, folder = hadoop_path(spark, d)
+    out = []
+    for table in fs.listStatus(folder):
+        inner = fs.listStatus(table.getPath()) if table.isDirectory() else [table]
+        out += [(f"{table.getPath().getName()}/{f.getPath().getName()}", f.getLen(), f.getModificationTime()) for f in inner]
+    return tuple(sorted(out))
+
+
 def term_of(ts: Column) -> Column:
     """Half-year term like 1997-2."""
     return F.concat(F.year(ts).cast("string"), F.lit("-"),

@@ -96,3 +96,12 @@ def test_empty_tables(spark):
     for o, p in ((offers.limit(0), places), (offers, places.limit(0)), (offers.where("demand = 0"), places)):
         acc, rounds = rank_join_select(o, p, ["pool"], ["course"], "teacher", "room", "slot", "score", "capacity", "demand")
         assert acc.count() == 0 and rounds == 0 and "_ord" in acc.columns
+
+
+def test_kpis_of_an_empty_timetable_are_zero(spark):
+    from semestra.plans.timetable import rank_join_timetable, schedule_kpis
+    offers = spark.createDataFrame([], "materia_nombre string, carrera_materia string, semestre_materia int, demanda_real long, "
+                                       "room_pool int, profesor_id long, nombre_profesor string, score_predicho double")
+    rooms = spark.createDataFrame([("R1", 20, 0)], "salon_id string, capacidad_base int, room_pool int")
+    plan, _ = rank_join_timetable(offers, rooms)
+    assert [tuple(r) for r in schedule_kpis(plan).collect()] == [(0, 0, 0.0, 0, 0, 0.0)]
