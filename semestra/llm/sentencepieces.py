@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"  # stands for a blank
-CACHE = 400_000  # parts a task remembers; beyond it the memory starts anew
+CACHE = 700_000  # parts a task remembers, 200 bytes each; beyond it the memory starts anew
 _LONG = 64       # parts beyond so many characters are merged by a heap and not remembered
 _NEVER = 1 << 60
 _PART_BYTES = 1 << 20
@@ -143,10 +143,13 @@ class Normalizer:
         maybe = self.chars.maybe
 
         def plain(a: int, b: int) -> None:
-            raw = np.frombuffer(data[a:b], np.uint8)
-            lead = (raw & 0xC0) != 0x80
-            out.append(data[a:b])
-            source.append(np.flatnonzero(lead)[np.cumsum(lead) - 1] + a)
+            piece = data[a:b]
+            out.append(piece)
+            if piece.isascii():
+                source.append(np.arange(a, b))
+            else:  # all bytes of a character stand where it begins
+                lead = (np.frombuffer(piece, np.uint8) & 0xC0) != 0x80
+                source.append(np.flatnonzero(lead)[np.cumsum(lead) - 1] + a)
 
         if maybe is not None and maybe.search(text):
             starts = set(self.chars._first)
@@ -249,7 +252,7 @@ class Model:
     def _scan(self, part: str) -> list[str]:
         """Merged symbols of a short part: the best pair, leftmost first."""
         rank, symbol = self.rank.get, list(part)
-        ranks = [rank(a + b, _NEVER) for a, b in zip(symbol, symbol[1:])]
+        ranks = [rank(part[i:i + 2], _NEVER) for i in range(len(part) - 1)]
         while ranks:
             best = min(ranks)
             if best == _NEVER:
@@ -325,14 +328,13 @@ class Model:
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids; the prefix blank goes."""
-        kept = [i for i in ids if i not in self.controls]
-        if len(kept) < len(ids) - 1 or (ids and len(kept) < len(ids) and ids[-1] not in self.controls):
-            runs = (run for control, run in itertools.groupby(ids, self.controls.__contains__) if not control)
-        else:
-            runs = iter([kept])
-        # Bytes make a character only side by side.
+        if ids and ids[-1] in self.controls:
+            ids = ids[:-1]
+        runs = [ids]
+        if not self.controls.isdisjoint(ids):  # bytes make a character only side by side
+            runs = [list(run) for control, run in itertools.groupby(ids, self.controls.__contains__) if not control]
         out = "".join([b"".join(map(self.label.__getitem__, run)).decode("utf-8", "semestra_each") for run in runs])
-        if not kept or kept[0] not in self.marked:
+        if not runs or not runs[0] or runs[0][0] not in self.marked:
             return out
         return out.lstrip(" ") if self.normalizer.remove_extra else out[1:] if self.normalizer.dummy_prefix else out
 
