@@ -86,7 +86,7 @@ def materialize(df: DataFrame, name: str = "t", written: list[str] | None = None
     df.write.mode("overwrite").parquet(path)
     if written is not None:
         written.append(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)  # known: no job to find it out
 
 
 def drop_written(spark: SparkSession, paths: list[str]) -> None:

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from semestra.session import hadoop_path
 
@@ -32,8 +33,19 @@ SECTION_SEATS = 7          # an order holds at most 7 lines
 BRANDS_PER_SEMESTER = 5
 
 
+_SCHEMAS: dict[tuple, StructType] = {}
+
+
 def read(spark: SparkSession, d: str, name: str, *cols: str) -> DataFrame:
-    df = spark.read.parquet(f"{d}/{name}.parquet")
+    """A table of ``d``. Its schema is found out once while the file is the same:
+    a plan reads a table several times, and each finding is a job."""
+    path = f"{d}/{name}.parquet"
+    fs, p = hadoop_path(spark, path)
+    status = fs.getFileStatus(p)
+    key = path, status.getLen(), status.getModificationTime()
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    df = spark.read.schema(_SCHEMAS[key]).parquet(path)
     return df.select(*cols) if cols else df
 
 
