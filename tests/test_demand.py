@@ -64,3 +64,17 @@ def test_no_courses_and_no_students(spark):
     assert demand.potential_demand_history(s, c.limit(0)).count() == 0
     odd = spark.createDataFrame([("X", "A", 1, ["Y", None]), ("Z", None, 1, [])], COURSE)
     assert {r.demanda_potencial for r in demand.potential_demand_history(s, odd).collect()} == {0}
+
+
+def test_students_are_tested_in_compiled_code_without_lambdas(spark):
+    students, courses = case(random.Random(6), 20, 50)
+    out = demand.potential_demand_history(spark.createDataFrame(students, STUDENT), spark.createDataFrame(courses, COURSE))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "hashpartitioning(carrera#" not in out._jdf.queryExecution().toString()
+
+
+def test_course_with_no_many_and_repeated_prerequisites(spark):
+    courses = [("A", "X", 1, None), ("B", "X", 1, ["A", "A"]), ("C", "X", 1, ["A", "B", "D", "E"]), ("D", "X", 1, ["A", None]), (None, "X", 1, ["A"])]
+    students = [(i, "X", "Activo", 1, "2024-1", p) for i, p in enumerate([None, [], ["A"], ["A", None], ["A", "B", "D", "E"], ["D", "E", "B", "A", "A"]])]
+    out = demand.potential_demand_history(spark.createDataFrame(students, STUDENT), spark.createDataFrame(courses, COURSE))
+    assert {r.materia_nombre: r.demanda_potencial for r in out.collect()} == {"A": 2, "B": 2, "C": 2, "D": 0, None: 4}

@@ -6,6 +6,7 @@ import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from semestra.functions import text as X
 
@@ -56,3 +57,14 @@ def test_name_lists_match_reference_rules(spark, cases):
         assert r.a == ref_name_list(t), t
         assert r.b == ref_clean(ref_name_list(t)), t
         assert r.c == ref_prereqs(t), t
+
+
+def test_name_lists_read_in_one_pass_are_the_lists(spark):
+    texts = [None, "", " ", "[]", " [ ] ", '["a"]', '["a", "B c"]', '[null]', '["a", null]', '[1, "x"]', '[{"k": 1}, ["y"]]', '["a"], ["b"]',
+             '["a"] x', '["a"', "null", "5", '"a"', '{"k": ["a"]}', "a, b", "],[", "[],[]", '["a",]', "['a', 'b']", '[["a", "b"]]', '["\\u00e1"]']
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    as_list, is_json = X._json_list(F.col("s"))
+    plain = (F.when(F.col("s").isNull(), F.array().cast("array<string>")).when(as_list.isNotNull(), as_list)
+             .when(is_json, F.array().cast("array<string>")).otherwise(X._comma_split(F.col("s"))))
+    for r in df.select("s", X.parse_name_list("s").alias("got"), plain.alias("want")).collect():
+        assert r.got == r.want, r.s
