@@ -116,3 +116,15 @@ def test_scored_timetable_equals_scoring_every_candidate(spark, ready):
     cols = [c for c in want.columns if c != "round"]
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
     assert got.count() > 5
+
+
+def test_training_rows_measure_the_sections_once(spark):
+    from semestra.plans import features
+    from semestra.sources import driver as drv
+    dem = spark.createDataFrame([("BRAND#11", "BUILDING", 1, "1995-1", 40), ("BRAND#11", "NOWHERE", 1, "1995-1", 400)],
+                                "materia_nombre string, carrera string, semestre_materia int, periodo_historico string, demanda_potencial long")
+    rows = features.model_table(drv.sections(spark, SF), drv.enrolments(spark, SF), dem, drv.teachers(spark, SF))
+    assert "lineitem.parquet" not in rows._jdf.queryExecution().toString()
+    top = rows.groupBy("demanda_raw_historica").agg(F.max("X_Factor_Demanda_Normalizado").alias("f"), F.count(F.lit(1)).alias("n")).collect()
+    assert {(r.demanda_raw_historica, r.f) for r in top} <= {(0, 0.0), (40, 1.0)}  # 400 is no section's demand
+    assert sum(r.n for r in top) == drv.sections(spark, SF).count()
