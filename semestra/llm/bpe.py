@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from semestra.llm.workers import tidy
+
 CACHE = 300_000  # words, and transitions, a task remembers; beyond it the memory starts anew
 _BLANK = re.compile(r"[ \t\n\r\x0b\x0c]+")
 #: ASCII and Latin letters: composed as they are, each lower-cased by itself.
@@ -201,7 +203,6 @@ class Encoder:
         self.words.clear()
         self.chunks.clear()
         self.automaton.table.clear()
-        pa.default_memory_pool().release_unused()
 
 
 def encoder(path: str) -> Encoder:
@@ -223,6 +224,7 @@ def encode_column(docs: DataFrame, path: str | None = None) -> DataFrame:
     names = [c for c in docs.columns if c not in ("ids", "decoded")]
     at = names.index("text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, usual = encoder(path), gc.get_threshold()
         gc.set_threshold(1_000_000)  # the remembered words hold no cycles

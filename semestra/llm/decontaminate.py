@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semestra.llm.hashing import mix, text_chunks
+from semestra.llm.workers import tidy
 
 Q = 12
 WINDOW = 60
@@ -201,6 +202,7 @@ def leaked_regions(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _search(docs: DataFrame, shared, schema: str) -> DataFrame:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
@@ -226,12 +228,13 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _filter(docs: DataFrame, shared, text: int) -> DataFrame:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            keep = np.ones(len(batch), bool)
             for top, raw, offsets in text_chunks(batch.column(text)):
-                keep[[top + g[0] for g in matches(index, raw, offsets)]] = False
-            yield batch.filter(pa.array(keep))
+                keep = np.ones(len(offsets) - 1, bool)
+                keep[[g[0] for g in matches(index, raw, offsets)]] = False
+                yield batch.slice(top, len(keep)).filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

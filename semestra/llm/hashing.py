@@ -22,7 +22,7 @@ _BYTE[ord("A"):ord("Z") + 1] = _BYTE[ord("a"):ord("z") + 1]
 _COEF = _RNG.integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-CHUNK_BYTES = 2 << 20  # bytes hashed at a time: bounds the working arrays
+CHUNK_BYTES = 1 << 19  # bytes hashed at a time: bounds the working arrays
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,7 +34,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> list[np.ndarray]:
     if len(_POWERS[0]) < n:
-        size = max(n, CHUNK_BYTES // 4)
+        size = max(n, CHUNK_BYTES)
         for k, base in enumerate((_BASE, _BASE_INV)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
@@ -42,9 +42,16 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
-def text_chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def forget() -> None:
+    """Drop the powers; a long text makes many."""
+    _POWERS[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def text_chunks(column: pa.Array, size: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of consecutive runs of rows of about
-    CHUNK_BYTES; a longer text is a run of its own. Null reads as empty."""
+    ``size`` bytes (CHUNK_BYTES); a longer text is a run of its own. Null reads
+    as empty."""
+    size = size or CHUNK_BYTES
     if not pa.types.is_large_string(column.type):
         column = column.cast(pa.large_string())
     if column.null_count:
@@ -54,7 +61,7 @@ def text_chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     row = 0
     while row < len(column):
-        end = int(np.searchsorted(offsets, offsets[row] + CHUNK_BYTES, side="right")) - 1
+        end = int(np.searchsorted(offsets, offsets[row] + size, side="right")) - 1
         end = min(max(end, row + 1), len(column))
         yield row, raw[offsets[row]:offsets[end]], offsets[row:end + 1] - offsets[row]
         row = end

@@ -35,6 +35,7 @@ EPOCHS = 4
 RATE = 2.0
 REJECT_RATE = 0.01
 UNKNOWN = "und"
+CHUNK_BYTES = 2 << 20  # bytes scored at a time; sums run over all of them
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _CODE = np.random.default_rng(77).integers(1, 1 << 62, (max(GRAMS), 256), dtype=np.int64).astype(np.uint64)
@@ -173,7 +174,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel | None) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = shared.value
         for batch in batches:
-            for row, raw, offsets in text_chunks(batch.column(1)):
+            for row, raw, offsets in text_chunks(batch.column(1), CHUNK_BYTES):
                 n = len(offsets) - 1
                 seen = np.concatenate([[0], np.cumsum(_ASCII_LETTER[raw])])
                 known = seen[offsets[1:]] > seen[offsets[:-1]]

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from semestra.llm.components import connected_components
 from semestra.llm.hashing import long_array, mix, seeds, shingles, text_chunks
+from semestra.llm.workers import tidy
 from semestra.session import drop_written, materialize
 
 WORDS = 5
@@ -80,6 +81,7 @@ def sketches(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int
     """doc_id, n_shingles, the 128-bit signature (s1, s2) of the set, band keys."""
     k1, k2 = seeds(2, 14)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, raw, offsets in text_chunks(batch.column(1)):
@@ -101,6 +103,7 @@ def sketches(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int
 def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """node, items: the whole shingle set of every document of ``docs``."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, raw, offsets in text_chunks(batch.column(1)):

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semestra.llm.hashing import _powers, mix, seeds, text_chunks, word_hashes_at
+from semestra.llm.workers import sliced, tidy
 from semestra.session import materialize
 
 MIN_RUN = 16
@@ -87,6 +88,7 @@ def document_units(docs: DataFrame) -> DataFrame:
     """rank, rid, h1, h2, no, start, end, words, edge of every unit; (rank, rid)
     stand for the document."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for top, raw, offsets in text_chunks(batch.column(2)):
@@ -139,6 +141,7 @@ def repeated_windows(gathered: DataFrame) -> DataFrame:
     """rank, rid, no, till, w1, w2 of the windows and lines that a document's
     repeated units form; ``gathered``: rank, rid, found (in order)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = batch.column(2)
@@ -234,9 +237,10 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     fields[at] = "string"
     schema = ", ".join(f"`{i}` {t}" for i, t in zip(inner, fields)) + ", removed array<struct<start:int,end:int>>"
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(3 + at).cast(pa.string()).to_pylist()
             removed: list[list[dict[str, int]]] = [[] for _ in texts]
             hit = batch.column(1)

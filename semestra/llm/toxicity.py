@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from semestra.llm.workers import sliced, tidy
+
 SAMPLE = 2000  # labelled documents of each class at most
 GRADES = 4
 MIN_DOCS = 3
@@ -182,9 +184,10 @@ def grade_documents(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             above = made.above(np.array([made.score(t.as_py() or "") for t in batch.column(1)]))
             mass = -np.diff(np.concatenate([np.ones((len(above), 1)), above, np.zeros((len(above), 1))], axis=1), axis=1)
             yield pa.RecordBatch.from_arrays(
@@ -205,9 +208,10 @@ def drop_toxic(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(at)
             above = made.above(np.array([made.score(t.as_py() or "") for t in texts]))
             yield batch.filter(pa.array(~_rejected(above, texts)))
