@@ -11,6 +11,10 @@ Most neighbours are no reduced word at all. A bit field of fixed size (16 MB)
 over the reduced vocabulary drops them before the shuffle; the join decides, so
 a field too full for a large vocabulary costs rows, never results.
 
+Spark takes the neighbours to be as small as the vocabulary's file that they are
+generated from, and would send them all through the driver to broadcast them; so
+tables of words are joined by sorting, whatever Spark takes them to be.
+
 Words are near when they differ by exactly one inserted, deleted or replaced
 code point. A word's form is its near word of largest count (ties: smallest in
 code-point order), if that is at least ``ratio`` times its own; its root is the
@@ -187,7 +191,7 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
     keyed = _with_keys(vocabulary)
     field = spark.sparkContext.broadcast(_field(keyed))
     reduced_words = keyed.select("key", F.col("word").alias("other"), F.col("n").alias("other_n"))
-    return (_generated(keyed, field).join(reduced_words, "key")
+    return (_generated(keyed, field).join(reduced_words.hint("merge"), "key")
             .where(F.abs(F.length("word") - F.length("other")) <= 1)
             .where(F.levenshtein("word", "other", 1) == 1).drop("key"))
 
@@ -202,12 +206,12 @@ def group_variants(vocabulary: DataFrame, ratio: int = RATIO) -> DataFrame:
     best = near_words(words).groupBy("word").agg(
         F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("m"), "other")).alias("best"))
     takes = -F.col("best.m") >= ratio * F.col("n")
-    forms = materialize(words.join(best, "word", "left").select(
+    forms = materialize(words.join(best.hint("merge"), "word", "left").select(
         "word", F.when(takes, F.col("best.other")).alias("form"), "n",
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.when(takes, -F.col("best.m")).alias("form_n")), "forms", written)
     roots = _roots(forms.where(F.col("form").isNotNull()).select("word", F.col("form").alias("root")), written)
-    return (forms.join(roots, "word", "left")
+    return (forms.join(roots.hint("merge"), "word", "left")
             .select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"))
 
 
@@ -218,7 +222,7 @@ def _roots(links: DataFrame, written: list[str]) -> DataFrame:
     now = materialize(links, "roots", written)
     while True:
         ahead = now.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        step = now.join(ahead, "root", "left").select(
+        step = now.join(ahead.hint("merge"), "root", "left").select(
             "word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved"))
         step = materialize(step, "roots", written)
         moved = step.where("moved").limit(1).count()

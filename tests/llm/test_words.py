@@ -11,6 +11,7 @@ import sentencepiece
 
 from semestra.llm import periodic_runs, sentencepieces, spelling_variants
 from semestra.llm.queries import QUERIES
+from semestra.session import materialize
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -321,3 +322,23 @@ def test_variants_odd_rows(spark, odd_docs, no_docs):
     assert got["word"][2] == 60_000 and got["the"][2] == 12 and "x" * 100_000 not in got
     for empty in (no_docs, odd_docs.where("doc_id = 3")):
         assert groups(spelling_variants.group_variants(spelling_variants.count_words(spelling_variants.words_of(empty)))) == {}
+
+
+def test_variants_are_never_broadcast(spark, monkeypatch):
+    """Spark sizes the neighbours by the vocabulary's file, far too low: no join of words may go through the driver."""
+    plans = []
+
+    def plan_of(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+
+    def watched(df, *rest):
+        plan_of(df)
+        return materialize(df, *rest)
+
+    monkeypatch.setattr(spelling_variants, "materialize", watched)
+    words = {"a" * 5 + "b" * k: 3 * 2 ** k for k in range(12)}
+    result = spelling_variants.group_variants(spark.createDataFrame(list(words.items()), "word string, n long"))
+    plan_of(result)
+    assert groups(result) == brute_groups(words)
+    assert len([p for p in plans if "SortMergeJoin" in p]) >= 4  # near words, forms, steps of roots, result
+    assert not [p for p in plans if "Broadcast" in p]
