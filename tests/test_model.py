@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
@@ -128,3 +129,50 @@ def test_training_rows_measure_the_sections_once(spark):
     top = rows.groupBy("demanda_raw_historica").agg(F.max("X_Factor_Demanda_Normalizado").alias("f"), F.count(F.lit(1)).alias("n")).collect()
     assert {(r.demanda_raw_historica, r.f) for r in top} <= {(0, 0.0), (40, 1.0)}  # 400 is no section's demand
     assert sum(r.n for r in top) == drv.sections(spark, SF).count()
+
+
+def _rows(spark, n, courses=3, label="pmod(hash(id, 2), 1000) / 1000 + pmod(id, 3)"):
+    """Sections with a quality of their own each, two hours, and a few null or NaN features."""
+    return spark.range(n).selectExpr(
+        "id grupo_id", f"{label} {model.LABEL}", f"concat('M', pmod(id, {courses})) materia_nombre_visual",
+        "CASE WHEN id % 97 = 5 THEN NULL WHEN id % 97 = 6 THEN double('NaN') ELSE pmod(hash(id), 9973) - 300.5 END X_Cp_Profesor",
+        "pmod(hash(id, 1), 5) / 5 X_Factor_Demanda_Normalizado", "7.0D X_capacidad_salon",
+        "double(7 + 4 * pmod(id, 2)) X_Hora_Inicio", "double(1 + pmod(id, 2)) X_Semestre_Num")
+
+
+def test_fits_work_on_cells_not_rows(spark, monkeypatch):
+    rows = materialize(_rows(spark, 12_000), "test-rows")
+    seen, fit = [], model.GBTRegressor._fit
+
+    def counting(self, df):
+        seen.append(df.count())
+        return fit(self, df)
+
+    monkeypatch.setattr(model.GBTRegressor, "_fit", counting)
+    found = model.grid_search(rows, folds=2, depth=[2], iters=[2], parallelism=2)
+    model.train_model(rows, grid=False, depth=[2], iters=[2])
+    assert len(found) == 1 and len(seen) == 3
+    assert max(seen) <= 32 * 5 * 2 * 3 < 2_000  # bins of quality and demand, hours (they fix the semester), courses
+
+
+@pytest.mark.parametrize("quality", [None, 1.0])
+def test_a_fit_on_cells_equals_one_on_rows(spark, quality):
+    rows = _rows(spark, 3_000)  # few enough that a fit on rows looks at all of them for its bins
+    if quality:  # a cell a course: fewer than Spark wants examples
+        rows = rows.withColumns({f: F.lit(1.0) for f in model.ORDERED})
+    rows = materialize(rows, "test-rows")
+    stages = model.feature_stages(rows)
+    plain = PipelineModel(stages=[*stages.stages, model._booster(model._bins(stages), 3, 4, 0.1).fit(stages.transform(rows))])
+    fitted = model.train_model(rows, grid=False, depth=[3], iters=[4])
+    odd = rows.limit(300).withColumns({"grupo_id": -F.col("grupo_id") - 1, "materia_nombre_visual": F.lit("new"), "X_Hora_Inicio": F.lit(9.0)})
+    both = rows.unionByName(odd)  # hour 9 is a split point
+    a, b = ({r.grupo_id: r.prediction for r in m.transform(both).select("grupo_id", "prediction").collect()} for m in (plain, fitted))
+    assert a.keys() == b.keys() and len(a) == (3_300 if quality else both.where("X_Cp_Profesor IS NOT NULL AND NOT isnan(X_Cp_Profesor)").count())
+    assert max(abs(a[k] - b[k]) for k in a) < 1e-9 and len(set(a.values())) > 2
+    assert fitted.stages[-1].featureImportances.toArray() == pytest.approx(plain.stages[-1].featureImportances.toArray(), abs=1e-9)
+
+
+def test_a_fit_on_cells_refuses_null_labels(spark):
+    rows = _rows(spark, 200, label="CASE WHEN id = 150 THEN NULL ELSE id / 200 END")
+    with pytest.raises(Exception, match="(?i)label"):
+        model.train_model(rows, grid=False, depth=[2], iters=[2])
